@@ -127,7 +127,9 @@ def spikes_above_p99(df: DataFrame, entity_cols: Sequence[str] = ENTITY, target_
 
 
 def mean_by_weekday(df: DataFrame, date_col: str = "date", target_col: str = "sales") -> DataFrame:
-    return df.groupBy(weekday0(date_col).alias("dayofweek")).agg(F.avg(target_col).alias("mean_sales"))
+    """Mean national daily total per weekday."""
+    return daily_totals(df, date_col, target_col).groupBy(weekday0(date_col).alias("dayofweek")).agg(
+        F.avg("total_sales").alias("mean_sales"))
 
 
 def yearly_totals(df: DataFrame, date_col: str = "date", target_col: str = "sales") -> DataFrame:
@@ -135,37 +137,36 @@ def yearly_totals(df: DataFrame, date_col: str = "date", target_col: str = "sale
 
 
 def payday_contrast(df: DataFrame, date_col: str = "date", target_col: str = "sales") -> DataFrame:
-    """Mean, exact median and count on paydays and other days."""
-    flagged = df.select(is_payday(date_col).alias("is_payday"), target_col)
-    medians = exact_quantiles(flagged, target_col, [0.5], ["is_payday"]).select(
-        "is_payday", F.col("value").alias("median_sales"))
-    means = flagged.groupBy("is_payday").agg(F.avg(target_col).alias("mean_sales"), F.count(F.lit(1)).alias("n"))
-    return means.join(medians, "is_payday")
+    """Mean, median and number of daily totals on paydays and other days (one row per day)."""
+    return daily_totals(df, date_col, target_col).groupBy(is_payday(date_col).alias("is_payday")).agg(
+        F.avg("total_sales").alias("mean_sales"), F.percentile("total_sales", 0.5).alias("median_sales"),
+        F.count(F.lit(1)).alias("n_days"),
+    )
 
 
 def event_windows(df: DataFrame, event_date: str, *, near: int = 42, share_days: int = 28, recent: int = 90,
                   date_col: str = "date", target_col: str = "sales") -> DataFrame:
-    """Means around an event, share of rows and mass after it, last days against the days before."""
-    d, y = F.col(date_col), F.col(target_col)
-    event = F.lit(event_date).cast("date")
-    # Reduced to one row per day first; the day's place decides its window.
-    daily = df.groupBy(d.alias("d")).agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n"))
-    last = F.max("d").over(Window.partitionBy())
-    day = daily.withColumn("last", last)
-    off = F.datediff(F.col("d"), event)
+    """Daily level around an event, share of rows and mass after it, last days against those before.
+
+    Rows shrink to one per day first, so the window that finds the last day is calendar-bound.
+    """
+    daily = df.groupBy(F.col(date_col).alias("d")).agg(
+        F.sum(target_col).alias("s"), F.count(F.lit(1)).alias("n"))
+    day = daily.withColumn("last", F.max("d").over(Window.partitionBy()))
+    off = F.datediff(F.col("d"), F.lit(event_date).cast("date"))
     age = F.datediff(F.col("last"), F.col("d"))
 
-    def mean(cond):
-        return F.sum(F.when(cond, F.col("s"))) / F.sum(F.when(cond, F.col("n")))
+    def level(cond):
+        return F.avg(F.when(cond, F.col("s")))
 
-    pre, post = mean(off.between(-near, -1)), mean(off.between(0, near))
+    pre, post = level(off.between(-near, -1)), level(off.between(0, near - 1))
     window = off.between(0, share_days - 1)
     return day.agg(
         pre.alias("mean_pre"), post.alias("mean_post"), (post / pre).alias("post_pre_ratio"),
         (F.sum(F.when(window, F.col("n"))) / F.sum("n")).alias("share_rows"),
         (F.sum(F.when(window, F.col("s"))) / F.sum("s")).alias("share_mass"),
-        mean(age < recent).alias("mean_recent"),
-        mean((age >= recent) & (age < 2 * recent)).alias("mean_prior"),
+        level(age < recent).alias("mean_recent"),
+        level((age >= recent) & (age < 2 * recent)).alias("mean_prior"),
     )
 
 
@@ -202,7 +203,7 @@ def histogram_log1p(df: DataFrame, col: str = "sales", bins: int = 60) -> DataFr
 
 def residual_histogram(oof: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", bins: int = 60) -> DataFrame:
     """Bins of the finite log1p residuals."""
-    r = F.log1p(y_pred) - F.log1p(y_true)
+    r = F.log1p(clip(y_pred, lower=0.0)) - F.log1p(clip(y_true, lower=0.0))
     return _histogram(oof.select(r.alias("x")).where(is_finite("x")), bins)
 
 
@@ -217,12 +218,16 @@ def _histogram(x: DataFrame, bins: int) -> DataFrame:
 
 
 def weekday_boxes(df: DataFrame, cap: float = 0.99, date_col: str = "date", target_col: str = "sales") -> DataFrame:
-    """Quartiles by weekday after capping at an upper quantile of the whole table."""
-    top = exact_quantiles(df, target_col, [cap]).select("value").scalar()
-    capped = df.select(weekday0(date_col).alias("dayofweek"), clip(target_col, upper=top).alias("y"))
-    q = exact_quantiles(capped, "y", [0.25, 0.5, 0.75], ["dayofweek"])
-    return q.groupBy("dayofweek").agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+    """Quartiles of daily totals by weekday, days above an upper quantile left out.
+
+    Percentiles and window work on one row per day.
+    """
+    daily = daily_totals(df, date_col, target_col).withColumn(
+        "_cap", F.percentile("total_sales", cap).over(Window.partitionBy()))
+    y = F.col("total_sales")
+    return daily.where(y <= F.col("_cap")).groupBy(weekday0(date_col).alias("dayofweek")).agg(
+        *[F.percentile(y, p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))],
+        F.count(F.lit(1)).alias("n_days"),
     )
 
 
@@ -253,7 +258,7 @@ def sampled_entities(df: DataFrame, n: int, entity_cols: Sequence[str] = ENTITY,
 def recent_slice(df: DataFrame, entities: DataFrame, days: int = 180, entity_cols: Sequence[str] = ENTITY, date_col: str = "date") -> DataFrame:
     """Last ``days`` of the chosen entities; the date bound is a scalar subquery."""
     last = df.agg(F.max(date_col)).scalar()
-    return df.where(F.col(date_col) > F.date_sub(last, days)).join(entities, list(entity_cols), "left_semi")
+    return df.where(F.col(date_col) >= F.date_sub(last, days)).join(entities, list(entity_cols), "left_semi")
 
 
 def entity_turnover(df: DataFrame, cut: str, entity_cols: Sequence[str] = ENTITY, date_col: str = "date") -> DataFrame:
@@ -265,11 +270,11 @@ def entity_turnover(df: DataFrame, cut: str, entity_cols: Sequence[str] = ENTITY
     )
 
 
-def forecast_summary(preds: DataFrame, near_zero: float = 0.01, by: Sequence[str] = ("family",), pred_col: str = "y_pred") -> DataFrame:
+def forecast_summary(preds: DataFrame, near_zero: float = 1e-12, by: Sequence[str] = ("family",), pred_col: str = "y_pred") -> DataFrame:
     """Near-zero rate, range, mean and exact median of predictions per group."""
     p = F.col(pred_col)
     base = preds.groupBy(*by).agg(
-        F.avg((p < near_zero).cast("int")).alias("near_zero_rate"), F.min(p).alias("pred_min"),
+        F.avg((p <= near_zero).cast("int")).alias("near_zero_rate"), F.min(p).alias("pred_min"),
         F.avg(p).alias("pred_mean"), F.max(p).alias("pred_max"), F.count(F.lit(1)).alias("n"),
     )
     med = exact_quantiles(preds, pred_col, [0.5], by).select(*by, F.col("value").alias("pred_median"))
