@@ -137,18 +137,18 @@ def _(w):
 
 
 CODES = ("SELECT t.store_nbr, t.family, t.date, {code} FROM train t LEFT JOIN (SELECT family, CAST(row_number() OVER (ORDER BY family) - 1 AS INT) AS c "
-         "FROM (SELECT DISTINCT family FROM train WHERE store_nbr > 0 AND family <> 'PROMO')) l ON l.family = t.family")
+         "FROM (SELECT DISTINCT family FROM train WHERE family <> 'PROMO')) l ON l.family = t.family")
 
 
 @query("b16_category_codes", oracle(CODES.format(code="l.c AS family_code")))
 def _(w):
-    seen = w.train().where("store_nbr > 0 and family <> 'PROMO'")
+    seen = w.train().where("family <> 'PROMO'")
     return X.encode_levels(w.train().select(*KEYS), seen, ["family"])
 
 
 @query("b17_category_codes_unseen", oracle(CODES.format(code="COALESCE(l.c, -1) AS family_code")))
 def _(w):
-    seen = w.train().where("store_nbr > 0 and family <> 'PROMO'")
+    seen = w.train().where("family <> 'PROMO'")
     return X.encode_levels(w.train().select(*KEYS), seen, ["family"], unseen=-1)
 
 
@@ -496,10 +496,10 @@ def _(w):
 
 
 @query("g4_id_set_difference", oracle(
-    "SELECT 'extra' AS side, id FROM test WHERE id % 1000 = 0 AND onpromotion = 0 UNION ALL SELECT 'missing', id FROM test WHERE onpromotion > 0"))
+    "SELECT 'extra' AS side, id FROM test WHERE family = 'LARGE' AND onpromotion = 0 UNION ALL SELECT 'missing', id FROM test WHERE onpromotion > 0"))
 def _(w):
     test = w.test()
-    sample = test.where("not (id % 1000 = 0 and onpromotion = 0)")
+    sample = test.where("not (family = 'LARGE' and onpromotion = 0)")
     sub = test.where("onpromotion = 0")
     return only_in(sub, sample, ["id"]).select(F.lit("extra").alias("side"), "id").unionByName(
         only_in(sample, sub, ["id"]).select(F.lit("missing").alias("side"), "id"))
@@ -530,7 +530,7 @@ def _(w):
     return w.train().select("store_nbr", "family").distinct()
 
 
-SUB_BAD = "SELECT id, CASE WHEN onpromotion > 1 THEN NULL ELSE onpromotion - 1.0 END AS sales FROM test WHERE id % 1000 <> 1"
+SUB_BAD = "SELECT id, CASE WHEN onpromotion > 1 THEN NULL ELSE onpromotion - 1.0 END AS sales FROM test WHERE family <> 'LARGE'"
 
 
 @query("p1_submission_checks", oracle(
@@ -538,7 +538,7 @@ SUB_BAD = "SELECT id, CASE WHEN onpromotion > 1 THEN NULL ELSE onpromotion - 1.0
     "(SELECT COUNT(*) FROM sb WHERE id NOT IN (SELECT id FROM test)) AS n_extra, (SELECT COUNT(*) FROM test WHERE id NOT IN (SELECT id FROM sb)) AS n_missing, "
     "(SELECT COUNT(*) FROM sb WHERE sales IS NULL) AS n_nonfinite, (SELECT COUNT(*) FROM sb WHERE sales < 0) AS n_negative, CAST(0 AS BIGINT) AS n_duplicate_ids", sb=SUB_BAD))
 def _(w):
-    sub = w.test().where("id % 1000 <> 1").select(
+    sub = w.test().where("family <> 'LARGE'").select(
         "id", F.when(F.col("onpromotion") > 1, F.lit(float("nan"))).otherwise(F.col("onpromotion") - 1.0).alias("sales"))
     return submission_checks(sub, w.sample_submission())
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.catalog.registry import SCORES, oracle, query
@@ -171,8 +171,6 @@ def _(w):
     "SELECT run_id, mean_rmsle, CAST(row_number() OVER (ORDER BY mean_rmsle, run_id) AS INT) AS place FROM runmeans",
     "mean_rmsle", runfolds=RUN_SCORES, runmeans=RUN_MEANS))
 def _(w):
-    from pyspark.sql import Window
-
     runs = run_inventory(w.spark, _stored_runs(w))
     return runs.select("run_id", "mean_rmsle", F.row_number().over(Window.orderBy("mean_rmsle", "run_id")).alias("place"))
 
@@ -195,12 +193,12 @@ def _(w):
 
 
 @query("a16_trial_resume", oracle(
-    "SELECT store_nbr AS trial, COUNT(*) AS n_rows FROM train GROUP BY 1 HAVING SUM(onpromotion) % 2 = 1"))
+    "SELECT store_nbr AS trial, COUNT(*) AS n_rows FROM train GROUP BY 1 HAVING SUM(onpromotion) < 0.13 * COUNT(*)"))
 def _(w):
     path = scratch_path(w.spark, "trials")
     planned = w.train().groupBy(F.col("store_nbr").alias("trial")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("onpromotion").alias("p"))
-    state = F.when(F.col("p") % 2 == 0, "COMPLETE").otherwise("RUNNING")
+    state = F.when(F.col("p") >= 0.13 * F.col("n_rows"), "COMPLETE").otherwise("RUNNING")
     append_trials(planned.select("trial", state.alias("state")), path)
     return remaining_trials(planned.drop("p"), w.spark.read.parquet(path))
 
