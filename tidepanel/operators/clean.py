@@ -85,6 +85,7 @@ def densify(
     start: str,
     end: str,
     fill: Mapping[str, object],
+    partitions: int | None = None,
 ) -> DataFrame:
     """Fill missing days of each entity between ``start`` and ``end``.
 
@@ -92,7 +93,12 @@ def densify(
     reaches back to ``start``.  One window per entity and no calendar join; the output keeps
     the entity distribution, so lag windows downstream need no further shuffle.  Input must
     be unique on entity and date and lie inside the range.
+
+    Rows grow here, so the number of partitions is fixed up front (default: the session's
+    shuffle partitions); sized by the small input, AQE would merge them into too few tasks.
     """
+    n = partitions or int(sparse.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sparse = sparse.repartition(n, *entity_cols)
     w = Window.partitionBy(*entity_cols).orderBy(date_col)
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
     until = F.coalesce(F.date_sub(F.lead(date_col).over(w), 1), last)

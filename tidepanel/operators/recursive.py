@@ -176,7 +176,7 @@ def explode_forecast(state: DataFrame, pred_cols: Sequence[str] = ("preds",), *,
 def forecast_transformer(
     state: DataFrame, models: Sequence[PipelineModel], feature_cols: Sequence[str], horizon: int, *,
     target_transform: str = "log1p", clip_negative: bool = True,
-    checkpoint_every: int = 5, date_col: str = "date",
+    checkpoint_every: int = 4, date_col: str = "date",
 ) -> DataFrame:
     """Forecast with fitted pipelines, each recursing on its own predictions.
 
@@ -215,11 +215,13 @@ def forecast_transformer(
             after["_h"] = F.col("_h") + 1
         update = [after[c].alias(c) if c in after else F.col(c) for c in kept]
         plans.append((model, features, update))
+    # Plans grow by one scoring per member and step; `checkpoint_every` scorings end a plan.
+    every = max(1, checkpoint_every // len(models))
     for h in range(1, horizon + 1):
         for model, features, update in plans:
             ready = work.select("*", *features).select(*kept, *inputs)
             work = model.transform(ready).select(*update)
-        if h % checkpoint_every == 0 and h < horizon:
+        if h % every == 0 and h < horizon:
             work = cut_lineage(work)
     work = work.drop("_h")
     out = explode_forecast(work, [f"preds_{i}" for i in members], date_col=date_col)

@@ -177,18 +177,19 @@ def expand_folds(
 
 
 def fold_ranges(df: DataFrame, folds: Sequence[Fold], *, date_col: str = "date") -> DataFrame:
-    """Row counts and observed date bounds per fold, in one pass over the panel."""
-    d, role = F.col(date_col), F.col("role")
+    """Row counts and observed date bounds per fold; rows are counted per day first."""
+    d, role, n = F.col(date_col), F.col("role"), F.col("_n")
+    per_day = df.groupBy(date_col).agg(F.count(F.lit(1)).alias("_n"))
     return (
-        expand_folds(df.select(date_col), folds, date_col=date_col)
+        expand_folds(per_day, folds, date_col=date_col)
         .groupBy("fold")
         .agg(
             F.min(F.when(role == "train", d)).alias("train_start"),
             F.max(F.when(role == "train", d)).alias("train_max"),
             F.min(F.when(role == "val", d)).alias("val_min"),
             F.max(F.when(role == "val", d)).alias("val_max"),
-            F.count_if(role == "train").alias("n_train"),
-            F.count_if(role == "val").alias("n_val"),
+            F.sum(F.when(role == "train", n).otherwise(0)).alias("n_train"),
+            F.sum(F.when(role == "val", n).otherwise(0)).alias("n_val"),
         )
     )
 
