@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepanel.catalog.features import FOLD_MASKED, INNER, KEY, KEYS
 from tidepanel.catalog.registry import CTES, D2, EVENT, SCORE_COLS, SCORES, oracle, query
-from tidepanel.catalog.sources import METHODS, folds_of, oof, oof_wide
+from tidepanel.catalog.sources import METHODS, folds_of, oof, oof_wide, sliced_oof
 from tidepanel.functions import scalars as S
 from tidepanel.functions.metrics import bias_log1p, mae_log1p, rmsle, rmsle_clipped
 from tidepanel.functions.quantiles import exact_quantiles
@@ -15,13 +16,13 @@ from tidepanel.operators import features as X
 from tidepanel.operators.blend import align_oofs, blend_report, gram, mean_blend, nonneg_weights, weighted_blend
 from tidepanel.operators.evaluation import (
     fold_metrics, gate_vs_naive, horizon_metrics, scoreboard, seed_summary, segment_metrics, segment_table,
-    summarize_folds, with_slices,
+    summarize_folds,
 )
 from tidepanel.operators.naive import naive_oof, to_long
 from tidepanel.operators.panel import fold_matrix
 from tidepanel.operators.recursive import forecast_column, linear_model, origin_state
 from tidepanel.operators.search import best_trial, sample_trials, score_column_trials
-from tidepanel.operators.splits import collect_folds, inner_folds
+from tidepanel.operators.splits import collect_folds, expand_folds, inner_folds
 from tidepanel.plans.evaluate import evaluate
 from tidepanel.plans.train import baseline_metrics
 
@@ -70,7 +71,7 @@ SEGMENTS = " UNION ALL ".join(
 
 @query("d5_horizon_metrics", oracle(HORIZON, SCORE_COLS))
 def _(w):
-    return horizon_metrics(with_slices(oof(w), folds_of(w)))
+    return horizon_metrics(sliced_oof(w, with_stores=False))
 
 
 @query("d6_segment_metrics", oracle(
@@ -81,7 +82,7 @@ def _(w):
 
 @query("d7_segment_table", oracle(SEGMENTS, SCORE_COLS))
 def _(w):
-    return segment_table(with_slices(oof(w), folds_of(w), w.stores()), ["family", "cluster", "is_zero", "is_payday"])
+    return segment_table(sliced_oof(w), ["family", "cluster", "is_zero", "is_payday"])
 
 
 GATE = ("SELECT *, 0.5513::DOUBLE AS naive_floor_rmsle, mean_rmsle < 0.5513 AS beats_naive_floor, mean_rmsle - 0.5513 AS delta_vs_naive_rmsle, "
@@ -98,7 +99,8 @@ def _(w):
     f"SELECT 'horizon' AS segment_type, CAST(horizon AS VARCHAR) AS segment, {SCORES} FROM sliced GROUP BY 2 UNION ALL "
     f"SELECT 'fold', CAST(fold AS VARCHAR), {SCORES} FROM oof GROUP BY 2 UNION ALL SELECT * FROM seg", SCORE_COLS, seg=SEGMENTS))
 def _(w):
-    t = evaluate(oof(w), folds_of(w), w.stores())
+    folds = folds_of(w)
+    t = evaluate(oof(w, folds), folds, w.stores())
     scores = ["n", "rmsle", "mae_log1p", "bias_log1p"]
     by_h = t["horizon"].select(F.lit("horizon").alias("segment_type"), F.col("horizon").cast("string").alias("segment"), *scores)
     by_f = t["folds"].where("fold is not null").select(F.lit("fold").alias("segment_type"), F.col("fold").cast("string").alias("segment"), *scores)
@@ -108,7 +110,7 @@ def _(w):
 @query("d10_slice_metrics", oracle(
     f"SELECT 'store_type' AS segment_type, store_type AS segment, {SCORES}, AVG(y_true) AS mean_y FROM sliced GROUP BY 2 HAVING COUNT(*) >= 50", SCORE_COLS + " mean_y"))
 def _(w):
-    return segment_table(with_slices(oof(w), folds_of(w), w.stores()), ["store_type"], with_mean_y=True)
+    return segment_table(sliced_oof(w), ["store_type"], with_mean_y=True)
 
 
 RUNS = "SELECT method AS run_id, AVG(rmsle) AS mean_rmsle FROM (SELECT method, fold, SQRT(AVG(" + D2 + ")) AS rmsle FROM oofl GROUP BY 1, 2) GROUP BY 1"
@@ -282,8 +284,6 @@ def _(w):
 # --- sorts and top-k ---------------------------------------------------------
 @query("f1_canonical_sort", oracle(f"SELECT {KEY}, sales, CAST(row_number() OVER (PARTITION BY store_nbr, family ORDER BY date) AS INT) AS place FROM train", "sales"))
 def _(w):
-    from pyspark.sql import Window
-
     rows = w.train().select(*KEYS, "sales").sortWithinPartitions(*KEYS)
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("store_nbr", "family").orderBy("date")))
 
@@ -295,7 +295,7 @@ def _(w):
 
 @query("f3_worst_segments", oracle("SELECT * FROM (SELECT * FROM seg ORDER BY ROUND(rmsle, 9) DESC, segment_type, segment LIMIT 5)", SCORE_COLS, seg=SEGMENTS))
 def _(w):
-    table = segment_table(with_slices(oof(w), folds_of(w), w.stores()), ["family", "cluster", "is_zero", "is_payday"])
+    table = segment_table(sliced_oof(w), ["family", "cluster", "is_zero", "is_payday"])
     return table.orderBy(F.desc(F.round("rmsle", 9)), "segment_type", "segment").limit(5)
 
 
@@ -402,8 +402,6 @@ def _(w):
     "rmsle", feats="SELECT store_nbr, family, date, LAG(sales, 7) OVER (PARTITION BY store_nbr, family ORDER BY date) AS sales_lag_7, "
     "AVG(sales) OVER (PARTITION BY store_nbr, family ORDER BY date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING) AS sales_roll_mean_28 FROM train"))
 def _(w):
-    from tidepanel.operators.splits import expand_folds
-
     made = X.add_rolling_features(X.add_lag_features(w.train(), lags=(7,)), windows=(28,), stats=("mean",))
     model = linear_model({"sales_lag_7": 0.3, "sales_roll_mean_28": 0.7})
     pred = model({c: F.col(c) for c in ("sales_lag_7", "sales_roll_mean_28")})
@@ -591,8 +589,6 @@ def _(w):
 @query("o6_zero_rate_ranking", oracle(
     "SELECT family, zero_rate, CAST(row_number() OVER (ORDER BY zero_rate DESC, family) AS INT) AS place FROM zr", "zero_rate", zr=ZERO))
 def _(w):
-    from pyspark.sql import Window
-
     # One row per family.
     return explore.zero_rates(w.train()).select(
         "family", "zero_rate", F.row_number().over(Window.orderBy(F.desc("zero_rate"), "family")).alias("place"))

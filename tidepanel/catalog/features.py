@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.catalog.registry import EVENT, TRAIN_END, oracle, query
-from tidepanel.catalog.sources import CLEAN_OIL, METHODS, folds_of, oof, oof_wide
+from tidepanel.catalog.sources import CLEAN_OIL, METHODS, folds_of, oof, oof_wide, sliced_oof
 from tidepanel.functions import scalars as S
+from tidepanel.functions.metrics import rmsle
 from tidepanel.operators import explore
 from tidepanel.operators import features as X
 from tidepanel.operators.blend import align_oofs, ensemble_mean
@@ -16,11 +17,11 @@ from tidepanel.operators.clean import (
 from tidepanel.operators.contracts import (
     align_submission, duplicate_keys, only_in, submission_checks,
 )
-from tidepanel.operators.evaluation import annotate_horizon, annotate_payday, annotate_zero_target, with_slices
+from tidepanel.operators.evaluation import annotate_horizon, annotate_payday, annotate_zero_target
 from tidepanel.operators.masks import (
     fill_from_oof, mask_numeric_after, mask_target_after, mask_with_label, write_back,
 )
-from tidepanel.operators.naive import naive_oof, seasonal_naive_predict, to_long
+from tidepanel.operators.naive import last_value_predict, naive_oof, seasonal_naive_predict, to_long
 from tidepanel.operators.panel import fold_matrix, prune_panel, train_test_panel, training_matrix
 from tidepanel.operators.splits import (
     date_grid, expand_folds, expanding_folds, fold_ranges, folds_frame, holdout_flags, inner_folds, leakage_report,
@@ -116,7 +117,8 @@ def _(w):
 @query("b12_horizon", oracle(
     "SELECT store_nbr, family, date, fold, horizon FROM sliced"))
 def _(w):
-    return annotate_horizon(oof(w), folds_of(w)).select(*KEYS, "fold", "horizon")
+    folds = folds_of(w)
+    return annotate_horizon(oof(w, folds), folds).select(*KEYS, "fold", "horizon")
 
 
 @query("b13_payday", oracle("SELECT store_nbr, family, date, fold, is_payday FROM sliced"))
@@ -274,9 +276,10 @@ def _(w):
     "JOIN folds f ON f.fold = 1 AND t.date <= f.val_end LEFT JOIN oof o ON o.fold = 1 AND o.store_nbr = t.store_nbr "
     "AND o.family = t.family AND o.date = t.date", "sales"))
 def _(w):
-    f = folds_of(w)[1]
+    folds = folds_of(w)
+    f = folds[1]
     inside = w.train().select(*KEYS, "sales").where(F.col("date") <= F.lit(f.val_end))
-    return fill_from_oof(inside, oof(w).where("fold = 1"), f.train_end)
+    return fill_from_oof(inside, oof(w, folds).where("fold = 1"), f.train_end)
 
 
 TEST_PRED = "SELECT id, store_nbr, family, date, CAST(onpromotion AS DOUBLE) * 2 AS sales FROM test"
@@ -297,7 +300,7 @@ def _(w):
 
 @query("c11_segment_attributes", oracle("SELECT * FROM sliced", "y_true y_pred"))
 def _(w):
-    return with_slices(oof(w), folds_of(w), w.stores())
+    return sliced_oof(w)
 
 
 @query("c12_id_recovery", oracle("SELECT id, store_nbr, family, date FROM test"))
@@ -456,8 +459,6 @@ STEP_FOLDS = ("SELECT CAST(CASE method WHEN 'last_value' THEN 0 WHEN 'seasonal_n
 
 
 def _step_folds(w):
-    from tidepanel.functions.metrics import rmsle
-
     step = F.create_map(*[F.lit(x) for kv in STEPS.items() for x in kv])
     return to_long(oof_wide(w), METHODS).groupBy(step[F.col("method")].alias("step"), "fold").agg(rmsle("y_true", "y_pred").alias("rmsle"))
 
@@ -654,8 +655,6 @@ def _(w):
     "SELECT t.store_nbr, t.family, t.date, COALESCE(l.lv, 0.0) AS y_pred FROM test t LEFT JOIN (SELECT store_nbr, family, arg_max(sales, date) AS lv "
     "FROM sparse_train GROUP BY 1, 2) l USING (store_nbr, family)", "y_pred", sparse_train=SPARSE_TRAIN))
 def _(w):
-    from tidepanel.operators.naive import last_value_predict
-
     seen = w.panel_sparse().where(F.col("date") <= F.lit(TRAIN_END).cast("date"))
     return last_value_predict(seen, w.test().select(*KEYS))
 

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.catalog.registry import SCORES, oracle, query
 from tidepanel.operators.clean import clean_structural
-from tidepanel.operators.evaluation import fold_metrics, summarize_folds
+from tidepanel.operators.evaluation import fold_metrics, summarize_folds, with_slices
 from tidepanel.operators.naive import naive_oof
-from tidepanel.operators.search import sample_trials
 from tidepanel.operators.splits import Fold, collect_folds, expanding_folds
 from tidepanel.plans.prepare import prepare
 from tidepanel.plans.train import OOF_COLUMNS, score_baseline
@@ -49,8 +48,13 @@ def oof_wide(w: Warehouse) -> DataFrame:
     return naive_oof(w.train(), folds_of(w), periods=(7, 14))
 
 
-def oof(w: Warehouse) -> DataFrame:
-    return score_baseline(w.train(), folds_of(w), "seasonal_naive", 7)
+def oof(w: Warehouse, folds: list[Fold] | None = None) -> DataFrame:
+    return score_baseline(w.train(), folds or folds_of(w), "seasonal_naive", 7)
+
+
+def sliced_oof(w: Warehouse, with_stores: bool = True) -> DataFrame:
+    folds = folds_of(w)
+    return with_slices(oof(w, folds), folds, w.stores() if with_stores else None)
 
 
 def raw_tables(w: Warehouse) -> dict[str, DataFrame]:

@@ -81,7 +81,7 @@ def naive_oof(
     ``folds x (longest period + horizon)`` days, whatever the length of the history.
     """
     keys = list(entity_cols)
-    date, y = F.col(date_col), F.col(target_col).cast("double")
+    date, y = F.col("_d"), F.col("_y")
     reach = max(periods, default=0)
     aggs = []
     for f in folds:
@@ -101,9 +101,21 @@ def naive_oof(
                 ).alias("ahead"),
             ).alias(f"_f{f.fold}")
         )
-    # Rows after the last fold play no part and never reach the shuffle.
-    used = panel.where(date <= F.lit(max(f.val_end for f in folds))).select(*keys, date_col, target_col)
-    state = used.groupBy(*keys).agg(*aggs)
+    # Rows after the last fold play no part.  Days before every lookup only matter for the last
+    # known value: a plain hash aggregate folds them into one row per entity, so the list
+    # aggregate sees a few weeks of rows however long the history is.
+    raw_date, raw_y = F.col(date_col), F.col(target_col).cast("double")
+    first_used = F.date_sub(F.lit(min(f.train_end for f in folds)), reach)
+    compact = (
+        panel.where(raw_date <= F.lit(max(f.val_end for f in folds)))
+        .groupBy(*keys, F.when(raw_date > first_used, raw_date).alias("_day"))
+        .agg(
+            F.max_by(raw_y, F.when(raw_y.isNotNull(), raw_date)).alias("_y"),
+            F.max(F.when(raw_y.isNotNull(), raw_date)).alias("_seen"),
+        )
+        .select(*keys, F.coalesce("_day", "_seen").alias("_d"), "_y")
+    )
+    state = compact.groupBy(*keys).agg(*aggs)
     per_fold = state.select(
         *keys, F.explode(F.array(*[F.col(f"_f{f.fold}") for f in folds])).alias("s")
     )
