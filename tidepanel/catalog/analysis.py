@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepanel.catalog.features import FOLD_MASKED, INNER, KEY, KEYS
-from tidepanel.catalog.registry import CTES, D2, EVENT, SCORE_COLS, SCORES, oracle, query
+from tidepanel.catalog.registry import CTES, D2, EVENT, SCORE_COLS, SCORES, TRAIN_END, oracle, query
 from tidepanel.catalog.sources import METHODS, folds_of, oof, oof_wide, sliced_oof
 from tidepanel.functions import scalars as S
 from tidepanel.functions.metrics import bias_log1p, mae_log1p, rmsle, rmsle_clipped
@@ -19,12 +19,14 @@ from tidepanel.operators.evaluation import (
     summarize_folds,
 )
 from tidepanel.operators.naive import naive_oof, to_long
-from tidepanel.operators.panel import fold_matrix
+from tidepanel.operators.panel import fold_matrix, train_test_panel
 from tidepanel.operators.recursive import forecast_column, linear_model, origin_state
 from tidepanel.operators.search import best_trial, sample_trials, score_column_trials
 from tidepanel.operators.splits import collect_folds, expand_folds, inner_folds
 from tidepanel.plans.evaluate import evaluate
-from tidepanel.plans.train import baseline_metrics
+from tidepanel.plans.predict import submit, test_fold
+from tidepanel.plans.train import NAIVE_RUNS, baseline_metrics, run_experiment, run_matrix
+from tidepanel.session import saved, scratch_path
 
 # --- metrics -----------------------------------------------------------------
 for _name, _agg, _sql in (
@@ -314,12 +316,15 @@ def _(w):
     return low.unionByName(rates.orderBy(F.desc("zero_rate"), "store_nbr").limit(3).select(F.lit("high").alias("side"), "*"))
 
 
-@query("f6_seeded_entity_sample")
+@query("f6_seeded_entity_sample", oracle(
+    f"SELECT {KEY}, sales FROM train WHERE (store_nbr, family) IN (SELECT (store_nbr, family) FROM (SELECT DISTINCT store_nbr, family FROM train) "
+    "ORDER BY md5(concat_ws(':', 42, store_nbr, family)), store_nbr, family LIMIT 6)", "sales"))
 def _(w):
     return explore.sampled_entities(w.train().select(*KEYS, "sales"), 6)
 
 
-@query("o11_seeded_forecast_sample")
+@query("o11_seeded_forecast_sample", oracle(
+    "SELECT * FROM (SELECT * FROM oof ORDER BY md5(concat_ws(':', 42, store_nbr, family, date, fold)), store_nbr, family, date, fold LIMIT 8000)", "y_true y_pred"))
 def _(w):
     return explore.seeded_sample(oof(w), 8000, [*KEYS, "fold"])
 
@@ -642,3 +647,67 @@ def _(w):
         f"date >= DATE '{EVENT}' AND date < DATE '{EVENT}' + 28 AS reg FROM train WINDOW w AS (PARTITION BY store_nbr, family)"))
 def _(w):
     return explore.outlier_triage(w.train(), EVENT)
+
+
+# --- jobs with models that SQL can follow --------------------------------------
+@query("l17_naive_experiment", oracle(SUMMARY.replace("SELECT AVG", "SELECT '001_seasonal_naive_7' AS run_id, AVG", 1), SUMMARY_D, **SUM_CTES))
+def _(w):
+    spec = {"run_id": "001_seasonal_naive_7", "model": "seasonal_naive", "period": 7}
+    return run_experiment(w.train(), folds_of(w), scratch_path(w.spark, "outputs"), spec)
+
+
+@query("m9_naive_run_specifications", oracle(
+    "SELECT CASE method WHEN 'last_value' THEN '000_last_value' WHEN 'seasonal_naive_7' THEN '001_seasonal_naive_7' ELSE '002_seasonal_naive_14' END AS run_id, "
+    "AVG(rmsle) AS mean_rmsle, STDDEV_SAMP(rmsle) AS std_rmsle FROM mf GROUP BY 1", "mean_rmsle std_rmsle", mf=METHOD_FOLDS))
+def _(w):
+    runs = run_matrix(w.train(), folds_of(w), scratch_path(w.spark, "outputs"), NAIVE_RUNS)
+    return runs.select("run_id", "mean_rmsle", "std_rmsle")
+
+
+TEST_LINEAR = LINEAR.replace("v.date", "t.date").replace("v.onpromotion", "t.onpromotion")
+TEST_STATE = f"SELECT store_nbr, family, list(sales ORDER BY date) AS h FROM train WHERE date > DATE '{TRAIN_END}' - 28 GROUP BY 1, 2"
+TEST_REC = ("SELECT store_nbr, family, 0 AS step, NULL::DATE AS date, NULL::BIGINT AS id, h, 0.0::DOUBLE AS y_pred FROM tstate UNION ALL "
+            "SELECT store_nbr, family, step + 1, date, id, list_append(h[2:28], p), p FROM (SELECT r.store_nbr, r.family, r.step, r.h, t.date, t.id, "
+            f"{TEST_LINEAR} AS p FROM trec r JOIN test t ON t.store_nbr = r.store_nbr AND t.family = r.family AND t.date = DATE '{TRAIN_END}' + r.step + 1)")
+
+
+def _test_forecast(w):
+    train, test = w.with_id(w.train()), w.test()
+    panel = X.add_calendar_features(train_test_panel(train, test), event_date=EVENT)
+    state = origin_state(panel, [test_fold(train, test)], ["onpromotion", "dayofweek"], keep=["id"])
+    return forecast_column(state, linear_model(WEIGHTS, 0.05), list(WEIGHTS))
+
+
+@query("l11_test_forecast_column_model", oracle(
+    "SELECT id, store_nbr, family, date, y_pred AS sales FROM trec WHERE step > 0", "sales", tstate=TEST_STATE, trec=TEST_REC))
+def _(w):
+    return _test_forecast(w).select("id", *KEYS, F.col("y_pred").alias("sales"))
+
+
+@query("l12_submission_job_column_model", oracle("SELECT id, y_pred AS sales FROM trec WHERE step > 0", "sales", tstate=TEST_STATE, trec=TEST_REC))
+def _(w):
+    preds = _test_forecast(w).select("id", F.col("y_pred").alias("sales"))
+    path = scratch_path(w.spark, "submission")
+    submit(preds, w.sample_submission(), path)
+    return w.spark.read.schema("id bigint, sales double").option("header", True).csv(path)
+
+
+BATTERY = ("SELECT 'clean' AS scenario, y_true, sales_lag_7 AS a, sales_roll_mean_28 AS b FROM vf UNION ALL "
+           "SELECT 'noise_5pct', y_true, sales_lag_7, sales_roll_mean_28 FROM (SELECT store_nbr, family, date, y_true, " + ", ".join(_noisy(c) for c in NOISE_COLS) + " FROM vf) UNION ALL "
+           "SELECT 'missing_history', y_true, NULL, sales_roll_mean_28 FROM vf")
+BATTERY_MEANS = ("SELECT scenario, SQRT(AVG(POW(LN(1 + 0.3 * COALESCE(a, 0) + 0.7 * COALESCE(b, 0)) - LN(1 + y_true), 2))) AS m FROM battery GROUP BY 1")
+
+
+@query("n7_battery_column_model", oracle(
+    "SELECT s.scenario, c.m AS clean_fold_mean_rmsle, s.m AS stressed_rmsle, s.m - c.m AS delta_rmsle, (s.m - c.m) / c.m AS relative_delta, 'ok' AS status "
+    "FROM bmeans s, (SELECT m FROM bmeans WHERE scenario = 'clean') c WHERE scenario <> 'clean' UNION ALL "
+    "SELECT 'missing_oil_join', m, NULL, NULL, NULL, 'not_applicable' FROM bmeans WHERE scenario = 'clean'",
+    "clean_fold_mean_rmsle stressed_rmsle delta_rmsle relative_delta", masked=FOLD_MASKED, vf=VAL_FEATURES, battery=BATTERY, bmeans=BATTERY_MEANS))
+def _(w):
+    model = linear_model({"sales_lag_7": 0.3, "sales_roll_mean_28": 0.7})
+    scenarios = {
+        "noise_5pct": lambda d: stress.relative_noise(d, NOISE_COLS, relative=0.05, seed=7, non_negative=NOISE_COLS),
+        "missing_history": lambda d: stress.null_columns(d, ["sales_lag_7"]), "missing_oil_join": None,
+    }
+    matrix = saved(_val(w).withColumn("fold", F.lit(1)), "matrix")
+    return stress.scenario_scores(matrix, scenarios, lambda d: d.withColumn("y_pred", model({c: F.col(c) for c in NOISE_COLS})))

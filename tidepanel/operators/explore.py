@@ -246,7 +246,8 @@ def missing_gaps(series: DataFrame, value_col: str, date_col: str = "date") -> D
 
 def seeded_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """``n`` rows picked by key hash: the same rows for any partitioning (a top-n, no sort)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), *keys).limit(n)
+    text = F.concat_ws(":", F.lit(seed).cast("string"), *[F.col(k).cast("string") for k in keys])
+    return df.orderBy(F.md5(text), *keys).limit(n)
 
 
 def sampled_entities(df: DataFrame, n: int, entity_cols: Sequence[str] = ENTITY, seed: int = 42) -> DataFrame:
