@@ -197,3 +197,24 @@ def test_upsert_and_resume(spark):
     assert {(r["run_id"], r["v"], r["note"]) for r in runs.upsert(old, new, ["run_id"]).collect()} == {("a", 1, None), ("b", 9, "x")}
     done = spark.createDataFrame([(0, "COMPLETE"), (1, "FAIL")], "trial int, state string")
     assert column(runs.remaining_trials(spark.range(3).withColumnRenamed("id", "trial"), done), "trial", "trial") == [1, 2]
+
+
+def test_bucketed_panel_needs_no_shuffle(spark, season, tmp_path):
+    keys = ["store_nbr", "family"]
+    stored = tables.write_bucketed(season, "season_bucketed", str(tmp_path / "bucketed"), keys=keys, sort=["date"], buckets=4)
+    made = build_feature_matrix(stored, groups=["lag", "rolling"])
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    plain = build_feature_matrix(season, groups=["lag", "rolling"])
+    assert sorted(map(str, made.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    spark.sql("DROP TABLE season_bucketed")
+
+
+def test_lag_features_after_gap_filling_reuse_its_shuffle(spark):
+    from tidepanel.operators.clean import densify
+
+    sparse = panel(spark, [1, 0, 3, 0, 5]).where("sales > 0")
+    dense = densify(sparse, entity_cols=["store_nbr", "family"], date_col="date", start="2017-01-01", end="2017-01-05",
+                    fill={"sales": 0.0, "onpromotion": 0}, partitions=3)
+    made = build_feature_matrix(dense, groups=["lag", "rolling"])
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert column(made, "sales_lag_1") == [None, 1, 0, 3, 0]
