@@ -63,7 +63,8 @@ def exact_duplicates(
     )
     identity = _pair_up(saved(named, "named-blocks"))
     rows = saved(base.select("_row", "_id", "sha").join(identity, "_row").select("_row", "_id", "sha", "n", "name"), "identities")
-    groups = rows.groupBy("n", "name").agg(F.max(F.struct("_id", "_row")).alias("keep"), F.count("*").alias("group_size"))
+    # Written first: a join whose side is still being aggregated can't split a large group.
+    groups = saved(rows.groupBy("n", "name").agg(F.max(F.struct("_id", "_row")).alias("keep"), F.count("*").alias("group_size")), "groups")
     return rows.join(groups, ["n", "name"]).select(
         F.col("_id").alias(id_col), F.col("keep._id").alias("keep_id"), "group_size",
         (F.col("_row") == F.col("keep._row")).alias("kept"), F.col("sha").alias("text_sha256"),

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidepanel.llm.workers import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -12,7 +15,11 @@ ORACLES: dict[str, str] = {}
 
 def _query(name: str, table: str, sql: str | None = None):
     def wrap(fn: Callable[[DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return fn
@@ -31,3 +38,53 @@ def op10(docs: DataFrame) -> DataFrame:
     from tidepanel.llm.exact import exact_duplicates
 
     return exact_duplicates(docs)
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query("op7_token_counts", "documents")
+def op7(docs: DataFrame) -> DataFrame:
+    from tidepanel.llm.token_counts import count_tokens
+
+    return count_tokens(docs, _tokenizer())
+
+
+@_query("op8_token_files", "documents")
+def op8(docs: DataFrame) -> DataFrame:
+    from tidepanel.llm.binary_tokens import binary_round_trip
+
+    return binary_round_trip(docs.sparkSession, docs, _tokenizer())
+
+
+@_query("op4_best_fit_packing", "documents")
+def op4(docs: DataFrame) -> DataFrame:
+    from tidepanel.llm.packing import pack_documents
+
+    return pack_documents(docs, _tokenizer())
+
+
+@_query("op2_source_mix", "documents", r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST) AS r FROM s),
+l AS (SELECT *, CAST((SELECT sum(size) FROM d) - coalesce(sum(3 * source_size) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+             / CAST(sum(w) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM o),
+t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), (SELECT arg_min(level, r) FROM l WHERE level * w <= 3 * source_size) * w) AS target FROM l),
+f AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS words FROM t),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS full_, CASE WHEN source_size > 0 THEN words % source_size ELSE 0 END AS rest FROM f),
+c AS (SELECT d.*, g.source_size, g.target, g.full_, g.rest, size > 0 AND sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) <= rest AS once
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+m AS (SELECT *, rest - sum(CASE WHEN once THEN size ELSE 0 END) OVER (PARTITION BY source) AS missing FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, NOT once AND size > 0 AND abs(missing - size) < missing ORDER BY abs(missing - size), k, doc_id, size) AS near FROM m)
+SELECT doc_id, size, source, source_size, round(target, 6) AS target,
+       CAST(size * (full_ + CASE WHEN once OR (near = 1 AND size > 0 AND abs(missing - size) < missing) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM n""")
+def op2(docs: DataFrame) -> DataFrame:
+    from tidepanel.llm.mixing import mix_sources
+
+    return mix_sources(docs).withColumn("target", F.round("target", 6))
