@@ -88,3 +88,17 @@ def op2(docs: DataFrame) -> DataFrame:
     from tidepanel.llm.mixing import mix_sources
 
     return mix_sources(docs).withColumn("target", F.round("target", 6))
+
+
+@_query("op5_simhash", "documents")
+def op5(docs: DataFrame) -> DataFrame:
+    from tidepanel.llm.simhash import simhash_groups
+
+    return simhash_groups(docs)
+
+
+@_query("op6_language_id", "documents")
+def op6(docs: DataFrame) -> DataFrame:
+    from tidepanel.llm.language import identify_language
+
+    return identify_language(docs)
