@@ -102,3 +102,17 @@ def op6(docs: DataFrame) -> DataFrame:
     from tidepanel.llm.language import identify_language
 
     return identify_language(docs)
+
+
+@_query("op1_embedding_dedup", "embeddings")
+def op1(vectors: DataFrame) -> DataFrame:
+    from tidepanel.llm.embeddings import embedding_links
+
+    return embedding_links(vectors)
+
+
+@_query("op3_html_text", "pages")
+def op3(pages: DataFrame) -> DataFrame:
+    from tidepanel.llm.html_text import extract_text
+
+    return extract_text(pages)
