@@ -1,26 +1,36 @@
 """Whole-text encoding with a byte-level BPE of the ``tokenizers`` library, one word at a time.
 
-The pre-tokenizer of such a vocabulary always cuts before a single space between two visible
-characters, so a text is the concatenation of its space-separated chunks and each distinct chunk
-needs to be encoded once per worker. Texts where that argument doesn't hold (runs of white space,
-strings of added tokens) go through the library whole; the result is the library's in every case.
+Such a vocabulary merges bytes within words only, and its split pattern alone tells where words
+begin. A text is therefore split once, and each distinct word is given to the library's model once
+per worker. Texts with characters on whose class engines may disagree, or with strings of added
+tokens, go through the library whole; the ids are the library's in every case.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
-# Fixed value: the split pattern of byte-level BPE vocabularies of this family.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Characters of long-settled classes: Latin, basic Greek and Cyrillic, common punctuation.
+_CHARACTERS = "\t\n\r" + "".join(map(chr, [
+    *range(0x20, 0x7F), *range(0xA1, 0x250), *range(0x391, 0x3A2), *range(0x3A3, 0x3CF), *range(0x400, 0x482), *range(0x2010, 0x2028),
+]))
+_PLAIN = re.compile(f"[{re.escape(_CHARACTERS)}]*").fullmatch
 
-# Characters on whose class all regular expression engines agree.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]+")
-_PROBE = "Don't  stop, it's 42 naïve words\n\n\tand ß*** é%%% 中文 x y "
+
+def _kind(kind: str) -> str:
+    return re.escape("".join(c for c in _CHARACTERS if unicodedata.category(c)[0] == kind))
+
+
+_LETTERS, _DIGITS = _kind("L"), _kind("N")
+# Fixed value: the split pattern of byte-level BPE vocabularies of this family, for the characters above.
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+"
+_PROBE = "Don't  stop, it's 42 naïve words\n\n\tand ß*** é%%% «Ω» – x² y "
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,7 +41,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Encodes texts to ids; two caches of at most ``cache`` entries each bound its memory."""
+    """Encodes texts to ids; a cache of at most ``cache`` words bounds its memory."""
 
     def __init__(self, path: str, cache: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
@@ -39,11 +49,10 @@ class WordEncoder:
         self.cache = cache
         self.size = self.tokenizer.get_vocab_size()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(PATTERN).findall
+        self.split = re.compile(PATTERN).findall
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        for text in (_PROBE, "plain words only", ""):
+        for text in (_PROBE, "plain words only", "中文 text", ""):
             if self.encode(text).tolist() != self._whole(text):
                 raise ValueError(f"{path} is not a byte-level BPE with the usual split pattern")
 
@@ -60,42 +69,27 @@ class WordEncoder:
         """Ids of a whole text (null: none), as the library gives them without special tokens."""
         if not text:
             return np.zeros(0, np.uint32)
-        if any(t in text for t in self.added):
+        if not _PLAIN(text) or any(t in text for t in self.added):
             return np.array(self._whole(text), np.uint32)
-        parts = text.split(" ")
-        head, rest = parts[0], parts[1:]
-        try:
-            body = b"".join(map(self.chunks.__getitem__, rest))
-        except KeyError:
-            if len(self.chunks) > self.cache:
-                self.chunks.clear()
-            own: dict[str, bytes] = {}
-            for chunk in rest:
-                if chunk not in self.chunks and chunk not in own:
-                    if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                        return np.array(self._whole(text), np.uint32)
-                    own[chunk] = self._piece(" " + chunk)
-            body = b"".join([own.get(c) or self.chunks[c] for c in rest])
-            self.chunks.update((k, v) for k, v in own.items() if len(k) < 64)
-        if not head or head[-1].isspace():
-            return np.array(self._whole(text), np.uint32)
-        return np.frombuffer(self._piece(head) + body, np.uint32)
+        words = self.split(text)
+        parts = [*map(self.words.get, words)]
+        if None in parts:
+            for i, part in enumerate(parts):
+                if part is None:
+                    parts[i] = self.words.get(words[i]) or self._word(words[i])
+        return np.frombuffer(b"".join(parts), np.uint32)
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _piece(self, piece: str) -> bytes:
-        if not _PLAIN.fullmatch(piece):
-            return np.array(self._whole(piece), np.uint32).tobytes()
-        return b"".join([self.words.get(w) or self._word(w) for w in self.split(piece)])
-
     def _word(self, word: str) -> bytes:
-        if len(self.words) > self.cache:
-            self.words.clear()
-        out = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))], np.uint32).tobytes()
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         if len(word) < 64:
-            self.words[word] = out
-        return out
+            if len(self.words) >= self.cache:
+                self.words.clear()
+            self.words[word] = ids
+        return ids
 
 
 @lru_cache(maxsize=2)
