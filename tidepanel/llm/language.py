@@ -149,6 +149,19 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return build_model([(r["lang"], int(r["gram"]).to_bytes(4, "big"), r["n"]) for r in totals.collect()])
 
 
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 400) -> DataFrame:
+    """Rows of ``docs`` whose text has a language, with all their columns; learns as ``identify_language`` does."""
+    model = train(docs.where(~is_held_out(F.col(id_col))), text_col, lang_col, id_col, sample_docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index(text_col))
+            yield batch.filter(pa.array([shared.value.predict(t.as_py())[0] != UNKNOWN for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 400) -> DataFrame:
     """One row per input row: id, ``held_out``, ``lang_pred``, ``score``.
 

@@ -103,7 +103,7 @@ def min_cost_flow(supply: list[int], quota: list[int], members: list[list[int]],
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Callable[[], Column] | None = None,
-    source_col: str = "source", seed: int = 0, weights: tuple[int, ...] = WEIGHTS,
+    source_col: str = "source", seed: int = 0, weights: tuple[int, ...] = WEIGHTS, row_col: str | None = None,
 ) -> DataFrame:
     """Words to take from each document: id, size, source, source_size, target, taken.
 
@@ -116,13 +116,14 @@ def mix_sources(
     what is still missing. Rows with equal ids follow each other by size; null ids count as one id.
     Empty documents take nothing. No rows in, no rows out. Other columns are not read. There may
     be many documents, but patterns and sources must fit the driver: they do for sources of a mix.
+    ``row_col`` names a column of distinct row numbers to hand through.
     """
     member = F.array(F.col(source_col).cast("string")) if sources is None else F.array_sort(F.array_distinct(sources()))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, KEY_BITS // 4), 16, 10).cast("long")
     number = F.col(id_col).cast("long")
     rows = docs.select(
         number.alias("_id"), F.coalesce(number, F.lit(-(1 << 63))).alias("order_id"), member.alias("pattern"),
-        count_words(F.col(text_col)).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("_row"),
+        count_words(F.col(text_col)).alias("size"), key.alias("key"), (F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()).alias("_row"),
     )
     rows = saved(rows, "sizes")
     spark = docs.sparkSession
@@ -150,6 +151,7 @@ def mix_sources(
     source = F.col("pattern")[0] if sources is None else F.col("pattern")
     return marked.join(table.drop("rest").join(saved(closing, "closing"), "pattern", "left"), "pattern").select(
         F.col("_id").alias(id_col), "size", source.alias("source"), "source_size", "target", taken.alias("taken"),
+        *([F.col("_row").alias(row_col)] if row_col else []),
     )
 
 
