@@ -116,3 +116,10 @@ def op3(pages: DataFrame) -> DataFrame:
     from tidepanel.llm.html_text import extract_text
 
     return extract_text(pages)
+
+
+@_query("op9_repeated_bytes", "documents")
+def op9(docs: DataFrame) -> DataFrame:
+    from tidepanel.llm.suffix import remove_repeats
+
+    return remove_repeats(docs)
