@@ -70,7 +70,9 @@ def build_model(counts: list[tuple[str, bytes, int]], least: int = 2) -> Model:
     method C: seen symbols keep n / (N + d), the escape d / (N + d), for d different ones of N.
     """
     languages = sorted({lang for lang, _, _ in counts}, key=lambda s: s.encode())
-    seen = np.unique(np.frombuffer(b"".join(g for _, g, _ in counts) or b" ", np.uint8))
+    if not counts:
+        return Model([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
+    seen = np.unique(np.frombuffer(b"".join(g for _, g, _ in counts), np.uint8))
     n = len(seen) + 1
     symbol = np.full(256, n - 1, np.int64)
     symbol[seen] = np.arange(n - 1)
