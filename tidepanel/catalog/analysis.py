@@ -665,10 +665,10 @@ def _(w):
 
 
 TEST_LINEAR = LINEAR.replace("v.date", "t.date").replace("v.onpromotion", "t.onpromotion")
-TEST_STATE = f"SELECT store_nbr, family, list(sales ORDER BY date) AS h FROM train WHERE date > DATE '{TRAIN_END}' - 28 GROUP BY 1, 2"
+TEST_STATE = f"SELECT store_nbr, family, list(sales ORDER BY date) AS h FROM train WHERE date > {TRAIN_END} - 28 GROUP BY 1, 2"
 TEST_REC = ("SELECT store_nbr, family, 0 AS step, NULL::DATE AS date, NULL::BIGINT AS id, h, 0.0::DOUBLE AS y_pred FROM tstate UNION ALL "
             "SELECT store_nbr, family, step + 1, date, id, list_append(h[2:28], p), p FROM (SELECT r.store_nbr, r.family, r.step, r.h, t.date, t.id, "
-            f"{TEST_LINEAR} AS p FROM trec r JOIN test t ON t.store_nbr = r.store_nbr AND t.family = r.family AND t.date = DATE '{TRAIN_END}' + r.step + 1)")
+            f"{TEST_LINEAR} AS p FROM trec r JOIN test t ON t.store_nbr = r.store_nbr AND t.family = r.family AND t.date = {TRAIN_END} + r.step + 1)")
 
 
 def _test_forecast(w):

@@ -314,10 +314,10 @@ def _(w):
 
 SNT = """SELECT t.store_nbr, t.family, t.date, COALESCE(h.sales{last}, 0.0) AS y_pred FROM test t
  LEFT JOIN sparse_train h ON h.store_nbr = t.store_nbr AND h.family = t.family
- AND h.date = t.date - 7 * GREATEST(1, CAST(CEIL((t.date - DATE '{end}') / 7.0) AS INT))
+ AND h.date = t.date - 7 * GREATEST(1, CAST(CEIL((t.date - {end}) / 7.0) AS INT))
  LEFT JOIN (SELECT store_nbr, family, arg_max(sales, date) AS lv FROM sparse_train GROUP BY 1, 2) l
  ON l.store_nbr = t.store_nbr AND l.family = t.family"""
-SPARSE_TRAIN = f"SELECT * FROM sparse WHERE date <= DATE '{TRAIN_END}'"
+SPARSE_TRAIN = f"SELECT * FROM sparse WHERE date <= {TRAIN_END}"
 
 
 @query("c13_seasonal_lookup", oracle(
@@ -334,7 +334,7 @@ def _(w):
     "(SELECT store_nbr, family, arg_max(sales, date) AS lv FROM sparse_train GROUP BY 1, 2) l USING (store_nbr, family)",
     "last_sales", sparse_train=SPARSE_TRAIN))
 def _(w):
-    seen = w.panel_sparse().where(F.col("date") <= F.lit(TRAIN_END).cast("date"))
+    seen = w.panel_sparse().where(F.col("date") <= F.lit(w.train_end).cast("date"))
     last = seen.groupBy("store_nbr", "family").agg(F.max_by("sales", "date").alias("last_sales"))
     return w.test().select("store_nbr", "family").distinct().join(last, ["store_nbr", "family"], "left")
 
@@ -655,20 +655,20 @@ def _(w):
     "SELECT t.store_nbr, t.family, t.date, COALESCE(l.lv, 0.0) AS y_pred FROM test t LEFT JOIN (SELECT store_nbr, family, arg_max(sales, date) AS lv "
     "FROM sparse_train GROUP BY 1, 2) l USING (store_nbr, family)", "y_pred", sparse_train=SPARSE_TRAIN))
 def _(w):
-    seen = w.panel_sparse().where(F.col("date") <= F.lit(TRAIN_END).cast("date"))
+    seen = w.panel_sparse().where(F.col("date") <= F.lit(w.train_end).cast("date"))
     return last_value_predict(seen, w.test().select(*KEYS))
 
 
 @query("l2_seasonal_naive", oracle(SNT.format(last=", l.lv", end=TRAIN_END), "y_pred", sparse_train=SPARSE_TRAIN))
 def _(w):
-    seen = w.panel_sparse().where(F.col("date") <= F.lit(TRAIN_END).cast("date"))
-    return seasonal_naive_predict(seen, w.test().select(*KEYS), period=7, train_end=TRAIN_END)
+    seen = w.panel_sparse().where(F.col("date") <= F.lit(w.train_end).cast("date"))
+    return seasonal_naive_predict(seen, w.test().select(*KEYS), period=7, train_end=w.train_end)
 
 
 @query("l2b_seasonal_naive_no_fallback", oracle(SNT.format(last="", end=TRAIN_END), "y_pred", sparse_train=SPARSE_TRAIN))
 def _(w):
-    seen = w.panel_sparse().where(F.col("date") <= F.lit(TRAIN_END).cast("date"))
-    return seasonal_naive_predict(seen, w.test().select(*KEYS), period=7, train_end=TRAIN_END, fallback=False)
+    seen = w.panel_sparse().where(F.col("date") <= F.lit(w.train_end).cast("date"))
+    return seasonal_naive_predict(seen, w.test().select(*KEYS), period=7, train_end=w.train_end, fallback=False)
 
 
 @query("l2_seasonal_naive_all_folds", oracle("SELECT * FROM oofw", "y_true last_value seasonal_naive_7 seasonal_naive_14"))

@@ -9,35 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.sources.warehouse import END, EVENT, START, TRAIN_END, Warehouse
+from tidepanel.sources.warehouse import EVENT, TEST_DAYS, Warehouse
+
+# SQL for the last day of the training panel.
+TRAIN_END = f"(SELECT last_day_ - {TEST_DAYS} FROM bounds)"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 # Oracle tables in DuckDB SQL; a query pulls in the ones its text names.
 CTES: dict[str, str] = {
-    "cal": f"SELECT CAST(range AS DATE) AS date FROM range(TIMESTAMP '{START}', TIMESTAMP '{END}' + INTERVAL 1 DAY, INTERVAL 1 DAY)",
+    "bounds": "SELECT CAST(MIN(l_shipdate) AS DATE) AS first_day_, CAST(MAX(l_shipdate) AS DATE) AS last_day_ FROM lineitem",
+    "cal": "SELECT CAST(unnest(generate_series(CAST(first_day_ AS TIMESTAMP), CAST(last_day_ AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM bounds",
     "stores": "SELECT CAST(s_suppkey AS INT) AS store_nbr, n_name AS city, r_name AS state, "
               "substr('ABCDE', CAST(n_nationkey % 5 AS INT) + 1, 1) AS type, CAST(n_nationkey % 7 AS INT) AS cluster "
               "FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "sparse": "SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey AS INT) AS store_nbr, p_type AS family, "
               "SUM(l_quantity) AS sales, CAST(SUM(CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END) AS INT) AS onpromotion "
-              f"FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '{START}' "
-              f"AND l_shipdate < TIMESTAMP '{END}' + INTERVAL 1 DAY GROUP BY 1, 2, 3",
+              "FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3",
     "fam": "SELECT p_type AS family, row_number() OVER (ORDER BY p_type) - 1 AS f FROM (SELECT DISTINCT p_type FROM part)",
     "panel": "SELECT c.date, e.store_nbr, e.family, COALESCE(s.sales, 0.0::DOUBLE) AS sales, COALESCE(s.onpromotion, 0) AS onpromotion "
              "FROM (SELECT DISTINCT store_nbr, family FROM sparse) e CROSS JOIN cal c LEFT JOIN sparse s "
              "ON s.date = c.date AND s.store_nbr = e.store_nbr AND s.family = e.family",
-    "panel_id": f"SELECT CAST(store_nbr AS BIGINT) * 1000000 + date_diff('day', DATE '{START}', date) * 1000 + f AS id, panel.* "
-                "FROM panel JOIN fam USING (family)",
-    "train": f"SELECT * FROM panel WHERE date <= DATE '{TRAIN_END}'",
-    "train_id": f"SELECT * FROM panel_id WHERE date <= DATE '{TRAIN_END}'",
-    "test": f"SELECT id, date, store_nbr, family, onpromotion FROM panel_id WHERE date > DATE '{TRAIN_END}'",
+    "panel_id": "SELECT (CAST(store_nbr AS BIGINT) * (SELECT last_day_ - first_day_ + 1 FROM bounds) + (date - (SELECT first_day_ FROM bounds))) "
+                "* (SELECT COUNT(*) FROM fam) + f AS id, panel.* FROM panel JOIN fam USING (family)",
+    "train": f"SELECT * FROM panel WHERE date <= {TRAIN_END}",
+    "train_id": f"SELECT * FROM panel_id WHERE date <= {TRAIN_END}",
+    "test": f"SELECT id, date, store_nbr, family, onpromotion FROM panel_id WHERE date > {TRAIN_END}",
     "oil": "SELECT c.date, CASE WHEN day(c.date) % 11 <> 0 THEN ROUND(o.p / 1000, 2) END AS dcoilwtico "
            "FROM (SELECT * FROM cal WHERE isodow(date) < 6) c LEFT JOIN "
            "(SELECT CAST(o_orderdate AS DATE) AS date, AVG(o_totalprice) AS p FROM orders GROUP BY 1) o ON o.date = c.date",
     "tx": "SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey AS INT) AS store_nbr, CAST(COUNT(*) AS INT) AS transactions "
-          f"FROM lineitem WHERE l_shipdate >= TIMESTAMP '{START}' AND l_shipdate < TIMESTAMP '{TRAIN_END}' + INTERVAL 1 DAY GROUP BY 1, 2",
+          f"FROM lineitem WHERE CAST(l_shipdate AS DATE) <= {TRAIN_END} GROUP BY 1, 2",
     "hol": "SELECT date, CASE month(date) % 5 WHEN 0 THEN 'Holiday' WHEN 1 THEN 'Transfer' WHEN 2 THEN 'Bridge' "
            "WHEN 3 THEN 'Work Day' ELSE 'Additional' END AS type, CASE day(date) WHEN 1 THEN 'National' WHEN 10 THEN 'Regional' "
            "ELSE 'Local' END AS locale, CASE day(date) WHEN 1 THEN 'Country' WHEN 10 THEN (SELECT MIN(r_name) FROM region) "

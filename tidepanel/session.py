@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +67,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_stored: dict[tuple, str] = {}
+
+
+def saved_once(spark: SparkSession, key: tuple, bucket_cols: Sequence[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made once per application and key, bucketed in the shared folder.
+
+    Windows and joins on ``bucket_cols`` then start without a shuffle.
+    """
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _stored:
+        name = f"{key[1]}_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        made = make().repartition(buckets, *bucket_cols)
+        made.write.bucketBy(buckets, *bucket_cols).option("path", scratch_path(spark, key[1])).saveAsTable(name)
+        _stored[key] = name
+    return spark.table(_stored[key])
+
+
 def saved(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 

@@ -6,16 +6,20 @@ The panel therefore grows with the fact table: suppliers x types x days.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.scalars import weekday0
 from tidepanel.operators.clean import densify
+from tidepanel.session import saved_once
 from tidepanel.sources.schemas import ENTITY
 
-START, END, TRAIN_END, EVENT = "2000-01-01", "2001-07-31", "2001-07-15", "2001-04-16"
+EVENT = "2001-04-16"
+TEST_DAYS = 16  # the last days of the facts are the horizon to forecast
 
 
 def day(text: str):
@@ -32,8 +36,19 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    @cached_property
+    def bounds(self) -> tuple[dt.date, dt.date]:
+        """First and last ship date: the panel spans all facts."""
+        ship = F.col("l_shipdate").cast("date")
+        first, last = self.table("lineitem").agg(F.min(ship), F.max(ship)).first()
+        return first, last
+
+    @property
+    def train_end(self) -> str:
+        return str(self.bounds[1] - dt.timedelta(days=TEST_DAYS))
+
     def calendar(self) -> DataFrame:
-        days = F.sequence(day(START), day(END))
+        days = F.sequence(*(F.lit(d) for d in self.bounds))
         return self.spark.range(1).select(F.explode(days).alias("date"))
 
     def stores(self) -> DataFrame:
@@ -52,17 +67,10 @@ class Warehouse:
             )
         )
 
-    def _lines(self) -> DataFrame:
-        ship = F.col("l_shipdate")
-        return self.table("lineitem").where(
-            (ship >= F.lit(START).cast("timestamp"))
-            & (ship < F.date_add(day(END), 1).cast("timestamp"))
-        )
-
     def panel_sparse(self) -> DataFrame:
         """Observed store-family-days. AQE splits a part that holds many lines."""
         return (
-            self._lines()
+            self.table("lineitem")
             .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
             .groupBy(
                 F.col("l_shipdate").cast("date").alias("date"),
@@ -78,34 +86,35 @@ class Warehouse:
         )
 
     def panel(self) -> DataFrame:
-        """Dense daily panel, without row ids."""
-        return densify(
+        """Dense daily panel, without row ids; stored once per application, bucketed by entity."""
+        first, last = map(str, self.bounds)
+        return saved_once(self.spark, ("panel", self.path), ENTITY, lambda: densify(
             self.panel_sparse(), entity_cols=ENTITY, date_col="date",
-            start=START, end=END, fill={"sales": 0.0, "onpromotion": 0},
-        )
+            start=first, end=last, fill={"sales": 0.0, "onpromotion": 0},
+        ))
 
     def with_id(self, panel: DataFrame) -> DataFrame:
-        """Row id from store, day and family number: no global ordering is needed."""
+        """Row id from store, day and family number, each in its own digit: no two rows share one."""
         types = self.table("part").select(F.col("p_type").alias("family")).distinct()
         # One row per part type, a fixed vocabulary.
         numbered = types.select(
-            "family", (F.row_number().over(Window.orderBy("family")) - 1).alias("_f")
-        )
-        row_id = (
-            F.col("store_nbr").cast("bigint") * 1000000
-            + F.datediff("date", day(START)) * 1000
-            + F.col("_f")
+            "family", (F.row_number().over(Window.orderBy("family")) - 1).alias("_f"),
+            F.count("*").over(Window.partitionBy()).alias("_families"),
         )
+        first, last = self.bounds
+        days = (last - first).days + 1
+        of_day = F.col("store_nbr").cast("bigint") * days + F.datediff("date", F.lit(first))
+        row_id = of_day * F.col("_families") + F.col("_f")
         return panel.join(numbered, "family").select(
             row_id.alias("id"), *[c for c in panel.columns]
         )
 
     def train(self, with_id: bool = False) -> DataFrame:
-        out = self.panel().where(F.col("date") <= day(TRAIN_END))
+        out = self.panel().where(F.col("date") <= day(self.train_end))
         return self.with_id(out) if with_id else out
 
     def test(self) -> DataFrame:
-        future = self.panel().where(F.col("date") > day(TRAIN_END)).drop("sales")
+        future = self.panel().where(F.col("date") > day(self.train_end)).drop("sales")
         return self.with_id(future)
 
     def sample_submission(self) -> DataFrame:
@@ -132,8 +141,8 @@ class Warehouse:
 
     def transactions(self) -> DataFrame:
         return (
-            self._lines()
-            .where(F.col("l_shipdate") < F.date_add(day(TRAIN_END), 1).cast("timestamp"))
+            self.table("lineitem")
+            .where(F.col("l_shipdate") < F.date_add(day(self.train_end), 1).cast("timestamp"))
             .groupBy(
                 F.col("l_shipdate").cast("date").alias("date"),
                 F.col("l_suppkey").cast("int").alias("store_nbr"),
