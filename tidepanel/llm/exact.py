@@ -8,7 +8,7 @@ share (number of blocks, name) only if their bytes agree.
 from __future__ import annotations
 
 import string
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,20 +29,20 @@ def block_fingerprint(block: Column, round_: int) -> list[Column]:
 
 def exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8192,
-    fingerprint: Callable[[Column, int], list[Column]] = block_fingerprint,
+    fingerprint: Callable[[Column, int], list[Column]] = block_fingerprint, carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Null text counts as empty. Of equal texts the row with the greatest id stays; of rows that
     repeat that id exactly one is kept. Null ids lose to any other id; a group with null ids only
     has a null ``keep_id`` and still keeps one row. No rows in, no rows out. Columns other than
-    the two named are not read.
+    the two named, and small ones to hand through in ``carry``, are not read.
 
     The fingerprint only routes a block to its name: every run counts the different blocks behind
     each fingerprint, and draws other functions in the unlikely case that two share one.
     """
     text = F.encode(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "UTF-8")
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("_id"), text.alias("_bytes"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("_id"), text.alias("_bytes"), *carry)
     last = F.greatest(F.ceil(F.octet_length("_bytes") / F.lit(block_bytes)).cast("int") - 1, F.lit(0))
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("_bytes"), i * block_bytes + 1, F.lit(block_bytes)))
     for round_ in range(8):
@@ -55,19 +55,19 @@ def exact_duplicates(
     else:
         raise RuntimeError("no collision-free fingerprint in 8 rounds")
     keys = F.transform(cut, lambda b: F.struct(*[c.alias(n) for c, n in zip(fingerprint(b, round_), ("k1", "k2"), strict=True)]))
-    base = saved(rows.select("_row", "_id", F.sha2("_bytes", 256).alias("sha"), keys.alias("keys")), "blocks")
+    base = saved(rows.select("_row", "_id", F.sha2("_bytes", 256).alias("sha"), keys.alias("keys"), *carry), "blocks")
     named = (
         base.select("_row", F.size("keys").alias("n"), F.posexplode("keys").alias("pos", "key"))
         .select("_row", "n", "pos", F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2"))
         .join(names, ["k1", "k2"]).select("_row", "n", "pos", "name")
     )
     identity = _pair_up(saved(named, "named-blocks"))
-    rows = saved(base.select("_row", "_id", "sha").join(identity, "_row").select("_row", "_id", "sha", "n", "name"), "identities")
+    rows = saved(base.select("_row", "_id", "sha", *carry).join(identity, "_row").select("_row", "_id", "sha", "n", "name", *carry), "identities")
     # Written first: a join whose side is still being aggregated can't split a large group.
     groups = saved(rows.groupBy("n", "name").agg(F.max(F.struct("_id", "_row")).alias("keep"), F.count("*").alias("group_size")), "groups")
     return rows.join(groups, ["n", "name"]).select(
         F.col("_id").alias(id_col), F.col("keep._id").alias("keep_id"), "group_size",
-        (F.col("_row") == F.col("keep._row")).alias("kept"), F.col("sha").alias("text_sha256"),
+        (F.col("_row") == F.col("keep._row")).alias("kept"), F.col("sha").alias("text_sha256"), *carry,
     )
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,7 +103,7 @@ def min_cost_flow(supply: list[int], quota: list[int], members: list[list[int]],
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Callable[[], Column] | None = None,
-    source_col: str = "source", seed: int = 0, weights: tuple[int, ...] = WEIGHTS, row_col: str | None = None,
+    source_col: str = "source", seed: int = 0, weights: tuple[int, ...] = WEIGHTS, carry: Sequence[str] = (),
 ) -> DataFrame:
     """Words to take from each document: id, size, source, source_size, target, taken.
 
@@ -116,14 +116,15 @@ def mix_sources(
     what is still missing. Rows with equal ids follow each other by size; null ids count as one id.
     Empty documents take nothing. No rows in, no rows out. Other columns are not read. There may
     be many documents, but patterns and sources must fit the driver: they do for sources of a mix.
-    ``row_col`` names a column of distinct row numbers to hand through.
+    ``carry`` names small columns to hand through. Tables with one row per pattern come from or fit
+    the driver, so they are broadcast: a pattern that holds a third of all rows is not gathered.
     """
     member = F.array(F.col(source_col).cast("string")) if sources is None else F.array_sort(F.array_distinct(sources()))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, KEY_BITS // 4), 16, 10).cast("long")
     number = F.col(id_col).cast("long")
     rows = docs.select(
         number.alias("_id"), F.coalesce(number, F.lit(-(1 << 63))).alias("order_id"), member.alias("pattern"),
-        count_words(F.col(text_col)).alias("size"), key.alias("key"), (F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()).alias("_row"),
+        count_words(F.col(text_col)).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("_row"), *carry,
     )
     rows = saved(rows, "sizes")
     spark = docs.sparkSession
@@ -144,14 +145,14 @@ def mix_sources(
     # The document nearest to what is still missing closes the gap, if it brings the sum nearer.
     missing = marked.groupBy("pattern").agg((F.max("rest") - F.sum(F.when(F.col("once"), F.col("size")).otherwise(0))).alias("missing"))
     gap = F.abs(F.col("missing") - F.col("size"))
-    closing = marked.where("not once and size > 0").join(missing.where("missing > 0"), "pattern").where(gap < F.col("missing"))
+    closing = marked.where("not once and size > 0").join(F.broadcast(missing.where("missing > 0")), "pattern").where(gap < F.col("missing"))
     closing = closing.groupBy("pattern").agg(F.min(F.struct(gap.alias("gap"), *ORDER)).alias("closing"))
     closes = F.coalesce(F.struct(*ORDER) == F.struct(*[F.col(f"closing.{c}").alias(c) for c in ORDER]), F.lit(False))
     taken = F.col("size") * (F.col("full") + (F.col("once") | closes).cast("long"))
     source = F.col("pattern")[0] if sources is None else F.col("pattern")
-    return marked.join(table.drop("rest").join(saved(closing, "closing"), "pattern", "left"), "pattern").select(
+    return marked.join(F.broadcast(table.drop("rest").join(saved(closing, "closing"), "pattern", "left")), "pattern").select(
         F.col("_id").alias(id_col), "size", source.alias("source"), "source_size", "target", taken.alias("taken"),
-        *([F.col("_row").alias(row_col)] if row_col else []),
+        *carry,
     )
 
 
@@ -162,16 +163,16 @@ def _mark_prefix(rows: DataFrame, table: DataFrame) -> DataFrame:
     in which the prefix ends. After three levels a pattern's documents are down to one in 2 ** 36,
     and are put in order one by one.
     """
-    rows = rows.join(table.select("pattern", "rest"), "pattern")
+    rows = rows.join(F.broadcast(table.select("pattern", "rest")), "pattern")
     inside = rows.where("size > 0 and rest > 0").select("pattern", *ORDER, F.col("rest").alias("left"))
     for bits in LEVELS:
         prefix = F.shiftright("key", KEY_BITS - bits)
         sums = inside.groupBy("pattern", prefix.alias("prefix")).agg(F.sum("size").alias("sum"), F.max("left").alias("left"))
         before = F.coalesce(F.sum("sum").over(Window.partitionBy("pattern").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         hit = sums.withColumn("before", before).where("before <= left and before + sum > left").select("pattern", "prefix", (F.col("left") - F.col("before")).alias("left"))
-        inside = saved(inside.drop("left").withColumn("prefix", prefix).join(hit, ["pattern", "prefix"]).drop("prefix"), "cut")
+        inside = saved(inside.drop("left").withColumn("prefix", prefix).join(F.broadcast(hit), ["pattern", "prefix"]).drop("prefix"), "cut")
     upto = F.sum("size").over(Window.partitionBy("pattern").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
     # The first document that no longer fits.
     cut = saved(inside.withColumn("upto", upto).where("upto > left").groupBy("pattern").agg(F.min(F.struct(*ORDER)).alias("cut")), "cut")
     once = F.coalesce(F.struct(*ORDER) < F.col("cut"), F.lit(True)) & (F.col("size") > 0) & (F.col("rest") > 0)
-    return rows.join(cut, "pattern", "left").withColumn("once", once).drop("cut")
+    return rows.join(F.broadcast(cut), "pattern", "left").withColumn("once", once).drop("cut")

@@ -8,13 +8,14 @@ join's own condition verifies them and takes each pair at one variant only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.llm.components import connected_components
 from tidepanel.session import saved
@@ -44,15 +45,16 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and the columns to carry of every row."""
 
     def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], ["doc_id", "fp", *carry])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(hash_texts, "doc_id long, fp long")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), *[docs.schema[c] for c in carry]])
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *carry).mapInArrow(hash_texts, schema)
 
 
 def _segments(bits: int) -> list[tuple[int, int]]:
@@ -92,16 +94,17 @@ def linked_pairs(fps: DataFrame, bits: int = 4) -> DataFrame:
     return left.join(b, match & (F.bit_count(diff) <= bits) & chosen).select("a", "b")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, shingle: int = 4) -> DataFrame:
-    """One row per input row: id, ``fingerprint`` (16 hex digits), ``component_id`` (least id reachable).
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, shingle: int = 4, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: id, ``fingerprint`` (16 hex digits), ``component_id`` (least id reachable), ``component``.
 
     Texts are lower-cased in A-Z, words are runs without white space, shingles of ``shingle`` words
     count as often as they occur; fewer words make one shingle, none (null or empty text too) the
     fingerprint zero, which links like any other. Copies share a fingerprint and are one node of the
     graph, never pairs. A row with a null id takes part through its fingerprint but has no id to
-    give: a component of such rows only is null. No rows in, no rows out; other columns are not read.
+    give: the ``component_id`` of such rows only is null; ``component``, one of its fingerprints as a
+    long, is never. No rows in, no rows out; columns other than those in ``carry`` are not read.
     """
-    marked = saved(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    marked = saved(with_fingerprints(docs, id_col, text_col, shingle, carry), "fingerprints")
     # Each fingerprint stands for its copies under their least id.
     nodes = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprint-nodes")
     pairs = saved(linked_pairs(nodes.select("fp")), "links")
@@ -110,7 +113,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = nodes.join(parts, "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("component"))
     named = saved(named, "members")
     least = saved(named.groupBy("component").agg(F.min("node").alias("component_id")), "least")
-    classes = saved(named.join(least, "component").select("fp", "component_id"), "classes")
+    classes = saved(named.join(least, "component").select("fp", "component_id", "component"), "classes")
     return marked.join(classes, "fp").select(
-        F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", *carry
     )
