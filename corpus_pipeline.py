@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.exact import exact_duplicates
@@ -14,18 +14,28 @@ from tidepanel.llm.simhash import simhash_groups
 from tidepanel.llm.workers import ship_package
 from tidepanel.session import saved
 
-ROW = "_pipeline_row"
+KEYS = ["_id_key", "_text_key_1", "_text_key_2"]
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with row numbers that stay: ids may be null or repeated, and decisions are joined back by row."""
-    return saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the id and 128 bits of the text: decisions are joined back by these.
 
+    Ids may be null or repeated. Rows that agree in all keys have the same id and text.
+    """
+    text = F.coalesce("text", F.lit(""))
+    keys = [F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)]
+    return docs.withColumns(dict(zip(KEYS, keys)))
 
-def _one_of_each(docs: DataFrame, groups: DataFrame, group: str, best: Column) -> DataFrame:
-    """Rows of ``docs`` that are the greatest by ``best`` in their group."""
-    chosen = groups.join(docs.select(ROW, "doc_id"), ROW).groupBy(group).agg(F.max(F.struct(best.alias("best"), F.col(ROW).alias("row"))).alias("kept"))
-    return docs.join(saved(chosen.select(F.col("kept.row").alias(ROW)), "kept"), ROW, "left_semi").drop(ROW)
+
+def _taken(keyed: DataFrame, times: DataFrame) -> DataFrame:
+    """Each document as often as ``times`` says for its keys; of rows that agree in them, one stands for all.
+
+    The join is by shuffle at every size: the decisions grow with the documents.
+    """
+    joined = keyed.join(times.hint("merge"), KEYS)
+    first = joined.withColumn("_nth", F.row_number().over(Window.partitionBy(*KEYS).orderBy(*KEYS))).where("_nth = 1")
+    repeated = first.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return repeated.drop(*KEYS, "_nth", "_times", "_copy")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,25 +46,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the greatest id stays."""
-    rows = _numbered(docs)
-    groups = exact_duplicates(rows, id_col=ROW).select(ROW, "keep_id")
-    return _one_of_each(rows, groups, "keep_id", F.col("doc_id"))
+    keyed = _keyed(docs)
+    kept = exact_duplicates(keyed, carry=KEYS).where("kept")
+    return _taken(keyed, kept.select(*KEYS, F.lit(1).alias("_times")))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the document with the least id stays."""
+    """Of near-duplicates the document with the least id stays; null ids come last."""
     ship_package(spark)
-    rows = _numbered(docs)
-    groups = simhash_groups(rows, id_col=ROW).select(ROW, "component_id")
-    return _one_of_each(rows, groups, "component_id", F.bitwise_not("doc_id"))
+    keyed = _keyed(docs)
+    best = F.max(F.struct(F.bitwise_not("doc_id").alias("best"), *KEYS)).alias("kept")
+    kept = simhash_groups(keyed, carry=KEYS).groupBy("component").agg(best)
+    return _taken(keyed, kept.select("kept.*").select(*KEYS, F.lit(1).alias("_times")))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    rows = _numbered(docs)
-    times = mix_sources(rows, row_col=ROW).where("taken > 0").select(ROW, (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    repeated = rows.join(times, ROW).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return repeated.select(*docs.columns)
+    keyed = _keyed(docs)
+    mixed = mix_sources(keyed, carry=KEYS).where("taken > 0")
+    times = mixed.groupBy(*KEYS).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    return _taken(keyed, times)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
