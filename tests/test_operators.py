@@ -88,7 +88,7 @@ def test_coercion_clip_and_transform(spark):
     with pytest.raises(ValueError):
         S.transform_target("v", "cube")
     promo = X.add_promo_features(df.withColumnRenamed("v", "onpromotion")).collect()
-    assert [r["has_promo"] for r in promo] == [1, 0, 0, 0, 0]
+    assert [r["has_promotion"] for r in promo] == [1, 0, 0, 0, 0]
     assert promo[1]["onpromotion_log1p"] == 0.0
 
 
@@ -209,7 +209,7 @@ def test_store_meta_replaces_columns(spark):
 
 
 def test_registry_and_ablation_order():
-    assert X.feature_columns(["base", "promo"]) == ["store_nbr", "family", "onpromotion", "onpromotion_log1p", "has_promo"]
+    assert X.feature_columns(["base", "promo"]) == ["store_nbr", "family", "onpromotion", "onpromotion_log1p", "has_promotion"]
     assert len(X.feature_columns(X.CORE_GROUPS)) == 22
     with pytest.raises(ValueError):
         X.feature_columns(["nope"])
@@ -440,3 +440,30 @@ def test_submission_contract(spark):
         contracts.align_submission(sub(spark, [(1, 9.0), (1, 5.0)]), sample).collect()
     with pytest.raises(ValueError, match="duplicate"):
         contracts.require_unique(sub(spark, [(1, 9.0), (1, 5.0)]), ["id"])
+
+
+def test_scores_are_null_when_a_row_has_no_error(spark):
+    from tidepanel.functions.metrics import invalid_rows, score_columns
+
+    df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 5.0, None), ("b", 3.0, -2.0), ("b", 1.0, 1.0), ("c", 1.0, 2.0)], "m string, y_true double, y_pred double")
+    got = {r.m: r for r in df.groupBy("m").agg(*score_columns(), invalid_rows("y_true", "y_pred").alias("bad")).collect()}
+    assert [got[m].rmsle for m in "ab"] == [None, None] and [got[m].mae_log1p for m in "ab"] == [None, None]
+    assert [got[m].bad for m in "abc"] == [1, 1, 0] and got["c"].rmsle is not None
+
+
+def test_unknown_model_parameters_raise_and_known_ones_are_listed():
+    from tidepanel.operators import trees
+
+    with pytest.raises(ValueError):
+        trees.spark_params({"learning_rat": 0.1})
+    assert trees.ignored_params({"reg_alpha": 1.0, "eta": 0.1, "num_leaves": 7}) == ["reg_alpha"]
+
+
+def test_weights_of_many_members(spark):
+    from tidepanel.operators.blend import nonneg_weights
+
+    rows = [tuple(float((i * (k + 3)) % (7 + k)) for k in range(15)) for i in range(80)]
+    rows = [(*r, 0.6 * r[2] + 0.4 * r[9]) for r in rows]
+    names = [f"m{k}" for k in range(15)]
+    w = nonneg_weights(spark.createDataFrame(rows, [*names, "y_true"]), names)
+    assert min(w) >= 0 and sum(w) == pytest.approx(1) and w[2] == pytest.approx(0.6, abs=1e-6) and w[9] == pytest.approx(0.4, abs=1e-6)

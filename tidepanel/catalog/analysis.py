@@ -79,12 +79,12 @@ def _(w):
 @query("d6_segment_metrics", oracle(
     f"SELECT 'family' AS segment_type, family AS segment, {SCORES} FROM oof GROUP BY 2 HAVING COUNT(*) >= 50", SCORE_COLS))
 def _(w):
-    return segment_metrics(oof(w), by="family")
+    return segment_metrics(oof(w), by="family", min_n=50)
 
 
 @query("d7_segment_table", oracle(SEGMENTS, SCORE_COLS))
 def _(w):
-    return segment_table(sliced_oof(w), ["family", "cluster", "is_zero", "is_payday"])
+    return segment_table(sliced_oof(w), ["family", "cluster", "is_zero", "is_payday"], min_n=50)
 
 
 GATE = ("SELECT *, 0.5513::DOUBLE AS naive_floor_rmsle, mean_rmsle < 0.5513 AS beats_naive_floor, mean_rmsle - 0.5513 AS delta_vs_naive_rmsle, "
@@ -102,7 +102,7 @@ def _(w):
     f"SELECT 'fold', CAST(fold AS VARCHAR), {SCORES} FROM oof GROUP BY 2 UNION ALL SELECT * FROM seg", SCORE_COLS, seg=SEGMENTS))
 def _(w):
     folds = folds_of(w)
-    t = evaluate(oof(w, folds), folds, w.stores())
+    t = evaluate(oof(w, folds), folds, w.stores(), min_n=50)
     scores = ["n", "rmsle", "mae_log1p", "bias_log1p"]
     by_h = t["horizon"].select(F.lit("horizon").alias("segment_type"), F.col("horizon").cast("string").alias("segment"), *scores)
     by_f = t["folds"].where("fold is not null").select(F.lit("fold").alias("segment_type"), F.col("fold").cast("string").alias("segment"), *scores)
@@ -112,7 +112,7 @@ def _(w):
 @query("d10_slice_metrics", oracle(
     f"SELECT 'store_type' AS segment_type, store_type AS segment, {SCORES}, AVG(y_true) AS mean_y FROM sliced GROUP BY 2 HAVING COUNT(*) >= 50", SCORE_COLS + " mean_y"))
 def _(w):
-    return segment_table(sliced_oof(w), ["store_type"], with_mean_y=True)
+    return segment_table(sliced_oof(w), ["store_type"], min_n=50, with_mean_y=True)
 
 
 RUNS = "SELECT method AS run_id, AVG(rmsle) AS mean_rmsle FROM (SELECT method, fold, SQRT(AVG(" + D2 + ")) AS rmsle FROM oofl GROUP BY 1, 2) GROUP BY 1"
@@ -297,7 +297,7 @@ def _(w):
 
 @query("f3_worst_segments", oracle("SELECT * FROM (SELECT * FROM seg ORDER BY ROUND(rmsle, 9) DESC, segment_type, segment LIMIT 5)", SCORE_COLS, seg=SEGMENTS))
 def _(w):
-    table = segment_table(sliced_oof(w), ["family", "cluster", "is_zero", "is_payday"])
+    table = segment_table(sliced_oof(w), ["family", "cluster", "is_zero", "is_payday"], min_n=50)
     return table.orderBy(F.desc(F.round("rmsle", 9)), "segment_type", "segment").limit(5)
 
 

@@ -67,7 +67,7 @@ def _(w):
 
 @query("b4_promo_features", oracle(
     f"SELECT {KEY}, onpromotion, LN(1 + GREATEST(onpromotion, 0)) AS onpromotion_log1p, "
-    "CAST(onpromotion > 0 AS INT) AS has_promo FROM panel", "onpromotion_log1p"))
+    "CAST(onpromotion > 0 AS INT) AS has_promotion FROM panel", "onpromotion_log1p"))
 def _(w):
     return X.add_promo_features(w.panel().select(*KEYS, "onpromotion"))
 
@@ -84,11 +84,13 @@ def _(w):
 
 
 @query("b7_origin_mask", oracle(
-    f"SELECT t.store_nbr, t.family, t.date, f.fold, CASE WHEN t.date <= f.train_end THEN t.sales END AS sales "
-    "FROM train t JOIN folds f ON t.date <= f.val_end AND t.date > f.train_end - 28", "sales"))
+    "SELECT t.store_nbr, t.family, f.fold, COUNT(*) AS n_rows, CAST(COUNT(CASE WHEN t.date > f.train_end THEN 1 END) AS BIGINT) AS n_masked, "
+    "SUM(CASE WHEN t.date <= f.train_end THEN t.sales END) AS kept_sales FROM train t JOIN folds f ON t.date <= f.val_end GROUP BY 1, 2, 3", "kept_sales"))
 def _(w):
-    rows = expand_folds(w.train().select(*KEYS, "sales"), folds_of(w), lookback_days=28)
-    return mask_target_after(rows, F.col("train_end")).select(*KEYS, "fold", "sales")
+    rows = expand_folds(w.train().select(*KEYS, "sales"), folds_of(w))
+    masked = mask_target_after(rows, F.col("train_end"))
+    return masked.groupBy("store_nbr", "family", "fold").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("sales").isNull()).alias("n_masked"), F.sum("sales").alias("kept_sales"))
 
 
 @query("b8_outcome_mask", oracle(
@@ -154,7 +156,7 @@ def _(w):
     return X.encode_levels(w.train().select(*KEYS), seen, ["family"], unseen=-1)
 
 
-@query("b18_numeric_features", oracle(f"SELECT {KEY}, onpromotion, LN(1 + onpromotion) AS onpromotion_log1p, CAST(onpromotion > 0 AS INT) AS has_promo FROM train", "onpromotion_log1p"))
+@query("b18_numeric_features", oracle(f"SELECT {KEY}, onpromotion, LN(1 + onpromotion) AS onpromotion_log1p, CAST(onpromotion > 0 AS INT) AS has_promotion FROM train", "onpromotion_log1p"))
 def _(w):
     made = X.add_promo_features(w.train())
     cols = X.numeric_feature_columns(made, exclude=("date", "sales", "store_nbr"))
@@ -608,7 +610,7 @@ def _(w):
 # --- feature matrix ----------------------------------------------------------
 def _matrix_sql(source: str, tx: str = "txf") -> str:
     return (f"SELECT p.store_nbr, p.family, p.date, p.onpromotion, {CALENDAR.format(dow='dayofweek', dom='day').replace('date', 'p.date')}, "
-            f"{SINCE.replace(', date)', ', p.date)')} AS days_since_eq, LN(1 + p.onpromotion) AS onpromotion_log1p, CAST(p.onpromotion > 0 AS INT) AS has_promo, "
+            f"{SINCE.replace(', date)', ', p.date)')} AS days_since_eq, LN(1 + p.onpromotion) AS onpromotion_log1p, CAST(p.onpromotion > 0 AS INT) AS has_promotion, "
             f"{', '.join('p.' + c for c in (LAG_COLS + ' ' + ROLL_COLS).split())}, oil_lag_1, "
             f"{', '.join('h.' + c for c in FLAGS)}, GREATEST(h.is_national_holiday, h.is_regional_holiday, h.is_local_holiday) AS is_holiday, "
             f"s.city, s.state, s.type AS store_type, s.cluster, transactions_lag_1, transactions_roll_mean_7 FROM {source} p "
@@ -684,10 +686,10 @@ def _(w):
 
 
 @query("o2_clean_train", oracle(
-    "SELECT store_nbr, date, MAX(sales) AS sales FROM train WHERE family = 'PROMO' GROUP BY 1, 2", "sales"))
+    f"SELECT {KEY}, MAX(sales) AS sales FROM train GROUP BY ALL", "sales"))
 def _(w):
-    rows = w.train().where("family = 'PROMO'").select("store_nbr", "date", "sales")
-    return clean_train(rows.unionByName(rows), entity_cols=["store_nbr"])
+    rows = w.train().select(*KEYS, "sales")
+    return clean_train(rows.unionByName(rows))
 
 
 @query("o3_clean_holidays", oracle("SELECT date, type, locale, transferred FROM hol"))

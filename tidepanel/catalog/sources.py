@@ -9,7 +9,7 @@ from tidepanel.catalog.registry import SCORES, oracle, query
 from tidepanel.operators.clean import clean_structural
 from tidepanel.operators.evaluation import fold_metrics, summarize_folds, with_slices
 from tidepanel.operators.naive import naive_oof
-from tidepanel.operators.splits import Fold, collect_folds, expanding_folds
+from tidepanel.operators.splits import Fold, collect_folds, expand_folds, expanding_folds
 from tidepanel.plans.prepare import prepare
 from tidepanel.plans.train import OOF_COLUMNS, score_baseline
 from tidepanel.session import saved, scratch_path
@@ -137,9 +137,7 @@ def _(w):
 def _(w):
     path = scratch_path(w.spark, "folds")
     save_folds(expanding_folds(w.train()), path)
-    # One row per fold, by construction of the manifest.
-    f = F.broadcast(load_folds(w.spark, path))
-    val = w.train().join(f, F.col("date").between(F.col("val_start"), F.col("val_end")))
+    val = expand_folds(w.train(), collect_folds(load_folds(w.spark, path)), lookback_days=0).where("role = 'val'")
     return val.groupBy("fold").agg(F.count(F.lit(1)).alias("n_val"), F.sum("sales").alias("total"))
 
 

@@ -1,4 +1,7 @@
-"""Log-scale error metrics as aggregate Columns (sum/count only, so map-side combined)."""
+"""Log-scale error metrics as aggregate Columns (sum/count only, so map-side combined).
+
+A row whose error is not a finite number makes the score NULL: a forecast can't gain by missing.
+"""
 
 from __future__ import annotations
 
@@ -14,31 +17,44 @@ def _delta(y_true: Column | str, y_pred: Column | str, clipped: bool = False) ->
     return F.log1p(p) - F.log1p(y)
 
 
-def _nonempty(agg: Column) -> Column:
-    return F.when(F.count(F.lit(1)) > 0, agg).otherwise(
-        F.raise_error(F.lit("metric over zero rows")).cast("double")
-    )
+def _honest(agg: Column, delta: Column) -> Column:
+    """Raise over zero rows; NULL if any row has no finite error, instead of leaving it out."""
+    return F.when(
+        F.count(F.lit(1)) > 0, F.when(n_invalid(delta) == 0, agg)
+    ).otherwise(F.raise_error(F.lit("metric over zero rows")).cast("double"))
+
+
+def n_invalid(delta: Column) -> Column:
+    """Rows without a finite error: a side is missing, or at or below -1."""
+    return F.count_if(delta.isNull() | F.isnan(delta) | (F.abs(delta) == float("inf")))
+
+
+def invalid_rows(y_true: Column | str, y_pred: Column | str) -> Column:
+    """Number of rows that make the scores NULL."""
+    return n_invalid(_delta(y_true, y_pred))
 
 
 def rmsle(y_true: Column | str, y_pred: Column | str) -> Column:
     """Root mean squared log1p error, without clipping; raises over zero rows."""
     d = _delta(y_true, y_pred)
-    return _nonempty(F.sqrt(F.avg(d * d)))
+    return _honest(F.sqrt(F.avg(d * d)), d)
 
 
 def rmsle_clipped(y_true: Column | str, y_pred: Column | str) -> Column:
     """Same with both sides floored at zero."""
     d = _delta(y_true, y_pred, clipped=True)
-    return _nonempty(F.sqrt(F.avg(d * d)))
+    return _honest(F.sqrt(F.avg(d * d)), d)
 
 
 def mae_log1p(y_true: Column | str, y_pred: Column | str) -> Column:
-    return _nonempty(F.avg(F.abs(_delta(y_true, y_pred))))
+    d = _delta(y_true, y_pred)
+    return _honest(F.avg(F.abs(d)), d)
 
 
 def bias_log1p(y_true: Column | str, y_pred: Column | str) -> Column:
     """Signed log1p error; positive means over-prediction."""
-    return _nonempty(F.avg(_delta(y_true, y_pred)))
+    d = _delta(y_true, y_pred)
+    return _honest(F.avg(d), d)
 
 
 def score_columns(y_true: Column | str = "y_true", y_pred: Column | str = "y_pred") -> list[Column]:

@@ -79,10 +79,10 @@ def horizon_metrics(oof: DataFrame, *, horizon_col: str = "horizon", y_true: str
 
 
 def segment_table(
-    oof: DataFrame, segment_cols: Sequence[str], *, min_n: int = 50, y_true: str = "y_true",
+    oof: DataFrame, segment_cols: Sequence[str], *, min_n: int = 1, y_true: str = "y_true",
     y_pred: str = "y_pred", with_mean_y: bool = False,
 ) -> DataFrame:
-    """Long table over several segment columns from one pass; small segments drop out.
+    """Long table over several segment columns from one pass; segments below ``min_n`` rows drop out.
 
     Rows with a NULL segment value are left out.  Map-side aggregation reduces the exploded
     rows to one per segment value and task before anything is shuffled.
@@ -101,7 +101,7 @@ def segment_table(
     )
 
 
-def segment_metrics(oof: DataFrame, *, by: str, min_n: int = 50, **cols) -> DataFrame:
+def segment_metrics(oof: DataFrame, *, by: str, min_n: int = 1, **cols) -> DataFrame:
     """One segment column, worst first."""
     return segment_table(oof, [by], min_n=min_n, **cols).orderBy(F.desc("rmsle"), "segment")
 

@@ -13,7 +13,7 @@ from tidepanel.operators.features import (
     feature_columns,
 )
 from tidepanel.operators.masks import mask_outcome_extras_after, mask_with_label
-from tidepanel.operators.splits import Fold
+from tidepanel.operators.splits import Fold, near_origin
 from tidepanel.sources.schemas import ENTITY, require_columns
 
 
@@ -65,12 +65,13 @@ def training_matrix(panel: DataFrame, *, groups: Sequence[str], extras: Mapping[
 
 def horizon_matrix(
     panel: DataFrame, fold: Fold, *, groups: Sequence[str], extras: Mapping[str, DataFrame] | None = None,
-    lookback_days: int = 56, **build,
+    history: int = 56, **build,
 ) -> DataFrame:
-    """Rows around one origin with all features that do not depend on the target."""
-    near = panel.where(
-        (F.col("date") > F.date_sub(F.lit(fold.train_end), lookback_days)) & (F.col("date") <= F.lit(fold.val_end))
-    )
+    """Rows around one origin with all features that do not depend on the target.
+
+    ``history`` counts rows of an entity, as lags do, not days.
+    """
+    near = near_origin(panel, fold, history)
     safe = mask_outcome_extras_after(extras or {}, fold.train_end)
     known = [g for g in groups if g not in RECURSIVE_GROUPS]
     return build_feature_matrix(near, groups=known, extras=safe, **build)

@@ -13,10 +13,12 @@ is appended.  Nothing is shuffled per step.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,16 +32,23 @@ from tidepanel.sources.schemas import ENTITY
 HISTORY = max(*DEFAULT_LAGS, *DEFAULT_WINDOWS)
 
 
+def history_for(names: Sequence[str], target: str = "sales") -> int:
+    """Past values that the lag and rolling columns among ``names`` look at."""
+    heads = (f"{target}_lag", f"{target}_roll_mean", f"{target}_roll_std")
+    return max([1, *(int(n.rpartition("_")[2]) for n in names if n.rpartition("_")[0] in heads)])
+
+
 def origin_state(
     panel: DataFrame, folds: Sequence[Fold], covariates: Sequence[str] = (), *,
     entity_cols: Sequence[str] = ENTITY, date_col: str = "date", target_col: str = "sales",
-    history: int = HISTORY, lookback_days: int = 56, keep: Sequence[str] = (),
+    history: int = HISTORY, keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per entity and fold: ``hist`` (last rows up to the origin) and ``fut`` (horizon).
 
     ``hist`` is padded in front with NULLs to exactly ``history`` values.  ``fut`` holds date,
-    true target and known covariates, ordered by date.  Both are bounded: at most
-    ``lookback_days`` and the horizon.  ``keep`` names extra columns carried in ``fut``.
+    true target and known covariates, ordered by date.  Both are bounded: ``history`` rows,
+    however many days they span, and the horizon.  ``history_for`` gives the length that a set of
+    features needs.  ``keep`` names extra columns carried in ``fut``.
     """
     keys, date = list(entity_cols), F.col(date_col)
     cov = F.struct(
@@ -50,7 +59,7 @@ def origin_state(
 
     def one(f: Fold) -> Column:
         origin = F.lit(f.train_end)
-        recent = (date <= origin) & (date > F.date_sub(origin, lookback_days))
+        recent = (date <= origin) & (F.col(f"_back{f.fold}") <= history)
         return F.struct(
             F.lit(f.fold).alias("fold"),
             F.array_sort(F.collect_list(F.when(recent, past))).alias("past"),
@@ -59,9 +68,11 @@ def origin_state(
             ).alias("fut"),
         ).alias(f"_f{f.fold}")
 
-    lo = min(f.train_end for f in folds)
     hi = max(f.val_end for f in folds)
-    used = panel.where((date > F.date_sub(F.lit(lo), lookback_days)) & (date <= F.lit(hi)))
+    back = Window.partitionBy(*keys).orderBy(F.desc(date_col)).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = panel.where(date <= F.lit(hi)).withColumns({f"_back{f.fold}": F.count_if(date <= F.lit(f.train_end)).over(back) for f in folds})
+    needed = [(F.col(f"_back{f.fold}") <= history) & (date <= F.lit(f.val_end)) for f in folds]
+    used = ranked.where(reduce(operator.or_, needed))
     state = used.groupBy(*keys).agg(*[one(f) for f in folds])
     rows = state.select(*keys, F.explode(F.array(*[F.col(f"_f{f.fold}") for f in folds])).alias("s"))
     padded = F.concat(
@@ -75,7 +86,7 @@ def origin_state(
 
 
 def lag_of(hist: Column, k: int) -> Column:
-    return F.element_at(hist, -k)
+    return F.try_element_at(hist, F.lit(-k))
 
 
 def mean_of(hist: Column, w: int) -> Column:

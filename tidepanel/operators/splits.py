@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.sources.schemas import FOLD_SCHEMA
+from tidepanel.sources.schemas import ENTITY, FOLD_SCHEMA
 
 
 class Fold(NamedTuple):
@@ -176,6 +176,14 @@ def expand_folds(
     )
 
 
+def near_origin(df: DataFrame, fold: Fold, history: int, *, entity_cols: Sequence[str] = ENTITY, date_col: str = "date") -> DataFrame:
+    """The last ``history`` rows of each entity up to the origin, however many days they span, and the rows after it."""
+    date = F.col(date_col)
+    back = Window.partitionBy(*entity_cols).orderBy(F.desc(date_col)).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.count_if(date <= F.lit(fold.train_end)).over(back)
+    return df.where(date <= F.lit(fold.val_end)).withColumn("_back", known).where(F.col("_back") <= history).drop("_back")
+
+
 def fold_ranges(df: DataFrame, folds: Sequence[Fold], *, date_col: str = "date") -> DataFrame:
     """Row counts and observed date bounds per fold; rows are counted per day first."""
     d, role, n = F.col(date_col), F.col("role"), F.col("_n")
@@ -211,7 +219,8 @@ def holdout_flags(df: DataFrame, train_end, *, days: int = 15, date_col: str = "
     )
 
 
-def holdout_usable(df: DataFrame, min_fit: int = 1000, min_holdout: int = 100) -> bool:
+def holdout_usable(df: DataFrame, min_fit: int = 1, min_holdout: int = 1) -> bool:
+    """Whether both sides of the holdout have rows."""
     n = df.agg(F.count_if(~F.col("is_holdout")).alias("fit"), F.count_if("is_holdout").alias("es")).first()
     return n["fit"] >= min_fit and n["es"] >= min_holdout
 

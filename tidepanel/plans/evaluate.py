@@ -25,7 +25,7 @@ SEGMENTS = ("family", "cluster", "is_zero", "is_payday")
 
 def evaluate(
     oof: DataFrame, folds: Sequence[Fold], stores: DataFrame | None = None, *, out_dir: str | None = None,
-    segments: Sequence[str] = SEGMENTS, min_n: int = 50, floor: float = NAIVE_FLOOR,
+    segments: Sequence[str] = SEGMENTS, min_n: int = 1, floor: float = NAIVE_FLOOR,
 ) -> dict[str, DataFrame]:
     """Metrics with gate, by fold, by horizon and by segment, from one annotated table."""
     sliced = saved(with_slices(oof, folds, stores), "oof")

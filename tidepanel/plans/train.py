@@ -14,7 +14,7 @@ from tidepanel.operators.evaluation import fold_metrics, summarize_folds
 from tidepanel.operators.features import ablation_group_sets, feature_columns, needs_recursion
 from tidepanel.operators.naive import naive_oof, to_long
 from tidepanel.operators.panel import horizon_matrix, training_matrix
-from tidepanel.operators.recursive import forecast_transformer, origin_state
+from tidepanel.operators.recursive import forecast_transformer, history_for, origin_state
 from tidepanel.operators.splits import Fold, holdout_flags, holdout_usable
 from tidepanel.session import saved
 from tidepanel.sources.runs import finished_runs, run_inventory, save_oof, save_run
@@ -65,7 +65,8 @@ def forecast_fold(
 ) -> DataFrame:
     """Forecast one fold's horizon: recursively if a feature depends on the target, else directly."""
     cols = feature_columns(groups)
-    rows = horizon_matrix(panel, fold, groups=groups, extras=extras, **build)
+    history = history_for(cols)
+    rows = horizon_matrix(panel, fold, groups=groups, extras=extras, history=history, **build)
     if not needs_recursion(groups):
         val = rows.where(F.col("date").between(fold.val_start, fold.val_end)).withColumns(
             {"y_true": F.col("sales"), "fold": F.lit(fold.fold)}
@@ -80,7 +81,7 @@ def forecast_fold(
         union = reduce(DataFrame.unionByName, [o.select(*keys, "y_pred") for o in out])
         return union.groupBy(*keys).agg(F.avg("y_pred").alias("y_pred"))
     known = [c for c in cols if c in rows.columns and c not in ENTITY]
-    state = origin_state(rows, [fold], known, keep=keep)
+    state = origin_state(rows, [fold], known, history=history, keep=keep)
     horizon = (fold.val_end - fold.val_start).days + 1
     out = forecast_transformer(
         state, models, cols, horizon, target_transform=target_transform, clip_negative=clip_negative

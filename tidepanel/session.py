@@ -13,8 +13,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Joins on (store, date) may reuse a distribution that is hashed on store alone.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

@@ -21,13 +21,19 @@ GROUP_TABLES: dict[str, tuple[str, ...]] = {
 }
 
 
+def missing_is_null(df: DataFrame) -> DataFrame:
+    """NaN becomes NULL in every floating-point column."""
+    floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
+
+
 def load_raw_tables(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
     """Every raw table as a lazy, schema-typed CSV scan; a missing file raises by name."""
     out = {}
     for name, schema in RAW_SCHEMAS.items():
         path = f"{raw_dir.rstrip('/')}/{name}.csv"
         try:
-            out[name] = (
+            out[name] = missing_is_null(
                 spark.read.schema(schema)
                 .options(header=True, mode="FAILFAST", enforceSchema=False)
                 .csv(path)

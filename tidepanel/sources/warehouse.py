@@ -48,8 +48,8 @@ class Warehouse:
         return str(self.bounds[1] - dt.timedelta(days=TEST_DAYS))
 
     def calendar(self) -> DataFrame:
-        days = F.sequence(*(F.lit(d) for d in self.bounds))
-        return self.spark.range(1).select(F.explode(days).alias("date"))
+        ship = F.col("l_shipdate").cast("date")
+        return self.table("lineitem").agg(F.explode(F.sequence(F.min(ship), F.max(ship))).alias("date"))
 
     def stores(self) -> DataFrame:
         nation = self.table("nation").join(
