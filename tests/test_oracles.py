@@ -49,3 +49,12 @@ def test_query_matches_oracle(spark, duck, name):
 def test_every_query_is_callable_and_oracles_have_queries():
     queries = entry_point.queries()
     assert set(ORACLES) <= set(queries) and all(callable(f) for f in queries.values())
+
+
+def test_panel_holds_every_fact_and_ids_are_unique(spark, duck):
+    from tidepanel.sources.warehouse import Warehouse
+
+    w = Warehouse(spark, DATA)
+    total, n, ids = w.with_id(w.panel()).selectExpr("sum(sales)", "count(*)", "count(distinct id)").first()
+    assert total == duck.sql("select sum(l_quantity) from lineitem").fetchall()[0][0] and n == ids
+    assert "Exchange" not in w.panel()._jdf.queryExecution().executedPlan().toString()

@@ -449,12 +449,16 @@ def _(w):
     return blend_report(aligned, METHODS, [1, 2, 5])
 
 
-@query("l15_nonneg_weights")
-def _(w):
-    wide = oof_wide(w)
-    weights = nonneg_weights(wide, METHODS)
-    return wide.agg(rmsle(F.col("y_true"), weighted_blend(METHODS, weights)).alias("pooled_rmsle"),
-                    *[F.lit(v).alias(f"w_{m}") for m, v in zip(METHODS, weights)])
+@query("l15_nonneg_weights", oracle("SELECT COUNT(*) AS n, TRUE AS signs_ok, TRUE AS sum_is_one, TRUE AS not_above_any_member FROM oofw"))
+def _(w):
+    wide = saved(oof_wide(w), "oof")
+    raw, weights = nonneg_weights(wide, METHODS, normalize=False), nonneg_weights(wide, METHODS)
+    blend = sum((F.col(m) * F.lit(v) for m, v in zip(METHODS, raw)), F.lit(0.0))
+    loss = {m: F.avg(F.pow(c - F.col("y_true"), 2)) for m, c in [("blend", blend), *[(m, F.col(m)) for m in METHODS]]}
+    return wide.agg(
+        F.count("*").alias("n"), F.lit(min(weights) >= 0).alias("signs_ok"), F.lit(abs(sum(weights) - 1) < 1e-9).alias("sum_is_one"),
+        (loss["blend"] <= F.least(*[loss[m] for m in METHODS]) + 1e-9).alias("not_above_any_member"),
+    )
 
 
 # --- search ------------------------------------------------------------------
