@@ -232,7 +232,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     found = saved(found, "segments")
     seen = found.groupBy("gram").agg(F.count("*").alias("n"), *[f(c).alias(f.__name__ + c) for c in ("s1", "s2") for f in (F.min, F.max)])
     alone = (F.col("mins1") == F.col("maxs1")) & (F.col("mins2") == F.col("maxs2"))
-    rep = saved(found.join(seen.where("n > 1").select("gram", alone.alias("alone")), "gram"), "repeated-anchors")
+    # Written first: a join whose side is still being aggregated can't split a frequent anchor.
+    seen = saved(seen.where("n > 1").select("gram", alone.alias("alone")), "anchor-counts")
+    rep = saved(found.join(seen, "gram"), "repeated-anchors")
     several = rep.where("not alone")
     kinds = several.groupBy("gram", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct(*key, "first", "last")).alias("at"))
     kinds = saved(kinds.select("gram", "s1", "s2", "n", "at.*"), "surroundings")
