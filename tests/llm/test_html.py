@@ -33,6 +33,34 @@ def test_very_long_pages_are_read_whole():
     assert main_text(page).count("\n\n") == 19_999
 
 
+ARTICLE = "<h2>Headline</h2><p>One text, of the article. It goes on, and on, for a while.</p><p>Another part, with more to say. And the end.</p>"
+BOXES = """<div class="sidebar"><p>Other, stuff. Not here, though.</p></div><div id="comments"><p>I think, that this. is a comment!</p></div>"""
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "layout-menu-left", "comments-open", "elementor-widget", "widget", "sidebar-page", "hasSidebar"])
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_a_wrapper_named_after_other_matter_is_not_dropped(name, tag):
+    want = "Headline\n\nOne text, of the article. It goes on, and on, for a while.\n\nAnother part, with more to say. And the end."
+    inner = f"<{tag}>{ARTICLE}</{tag}>"
+    assert main_text(f'<body><div class="ad">Buy now, cheap.</div><div class="{name}">{inner}{BOXES}</div></body>') == want
+    assert main_text(f'<body><{tag}><div class="{name}">{ARTICLE}</div></{tag}>{BOXES}</body>') == want
+
+
+def test_an_article_in_several_marked_parts():
+    part = '<div class="elementor-widget elementor-widget-{}"><div class="elementor-widget-container">{}</div></div>'
+    page = part.format("text", "<p>One, two. Three, four.</p>") + part.format("text", "<p>Five, six. Seven.</p>")
+    assert main_text(f"<body><div>{page}</div>{BOXES}</body>") == "One, two. Three, four.\n\nFive, six. Seven."
+
+    numbered = "".join(f'<div id="widget-{i}"><p>Part {i}, of many. Yes.</p></div>' for i in range(2_000))
+    assert main_text(numbered).count("\n\n") == 1_999
+
+
+def test_comments_longer_than_the_article_and_boxes_beside_a_short_one():
+    comments = '<div class="comments">' + "<p>I think, that this. is a comment!</p>" * 10 + "</div>"
+    assert main_text(f"<div><div>{ARTICLE}</div>{comments}</div>").endswith("And the end.")
+    assert main_text('<div class="ad">Buy now, cheap. Very cheap, indeed.</div><article><p>Short.</p></article>') == "Short."
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (2, "v", "", "x")], "page_id long, url string, html string, text string")
     got = sorted(((str(r.page_id), r.n_chars, r.text) for r in extract_text(df).collect()))

@@ -3,7 +3,8 @@
 Every stretch of text has a path of tags from the root. Lengths and punctuation marks are added up
 by path; their means per node are fused, smoothed along the page and averaged by path again. Paths
 above a threshold are content; the element that holds nearly all of it is the article, and its text
-is returned without the parts that are marked as something else.
+is returned without the parts that are marked as something else. A class, id or role marks only if
+what bears it holds less than the bulk of the page's text: it may as well name a wrapper.
 """
 
 from __future__ import annotations
@@ -37,28 +38,35 @@ OTHER = frozenset(
 )
 HEADS = frozenset("header site-header page-header".split())
 WHOLE = frozenset("html body main article".split())
+# Words of names that tell a state of the page rather than what the element holds (has-sidebar, comments-open).
+STATES = frozenset("has no with without open closed layout".split())
+# Words for what readers wrote, which may be longer than the article.
+READERS = frozenset("comment comments disqus respond reply replies".split())
 MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(>|\Z)|([^<]+|<)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
+_NUMBER = re.compile(r"\d+")
 
 
 @dataclass
 class Node:
-    """A stretch of text: its path, its block's number, and whether it is inside a link."""
+    """A stretch of text: its path, its block's number, whether it is inside a link and inside an article, and names around it that mark other matter."""
 
     path: tuple[str, ...]
     block: int
     text: str
     link: bool
+    article: bool = False
+    marks: frozenset[str] = frozenset()
 
 
 def text_nodes(html: str) -> list[Node]:
     """Text outside of skipped elements, in page order; broken and cut-off markup is put up with."""
     nodes: list[Node] = []
-    stack: list[tuple[str, str, bool]] = []  # name, path step, skipped
+    stack: list[tuple[str, str, bool, bool, frozenset[str]]] = []  # name, path step, skipped, in an article, marks
     block, at, end = 0, 0, len(html)
     while at < end:
         m = _TOKEN.match(html, at)
@@ -70,8 +78,8 @@ def text_nodes(html: str) -> list[Node]:
             if not (stack and stack[-1][2]):
                 text = entities.unescape(m[5])
                 if text:
-                    path = tuple(s for n, s, _ in stack if n in BLOCK)
-                    nodes.append(Node(path, block, text, any(n == "a" for n, _, _ in stack)))
+                    path = tuple(e[1] for e in stack if e[0] in BLOCK)
+                    nodes.append(Node(path, block, text, any(e[0] == "a" for e in stack), *(stack[-1][3:] if stack else ())))
             continue
         name = (m[2] or "").lower()
         if not name or not m[4]:
@@ -85,7 +93,7 @@ def text_nodes(html: str) -> list[Node]:
                     break
             continue
         if name == "br":
-            nodes.append(Node(tuple(s for n, s, _ in stack if n in BLOCK), block, " ", False))
+            nodes.append(Node(tuple(e[1] for e in stack if e[0] in BLOCK), block, " ", False, *(stack[-1][3:] if stack else ())))
         if name in VOID:
             continue
         if name in RAW:
@@ -98,13 +106,16 @@ def text_nodes(html: str) -> list[Node]:
             _close(stack, {"p"}, {"button", "table", "td", "th"})
         if name in SIBLINGS:
             _close(stack, SIBLINGS[name], LIMITS[name])
-        inside = {n for n, _, _ in stack}
-        step, other = _describe(name, m[3], bool(inside & {"article", "main"}))
-        stack.append((name, step, other or bool(stack and stack[-1][2])))
+        inside = {e[0] for e in stack}
+        step, other, marks = _describe(name, m[3], bool(inside & {"article", "main"}))
+        _, _, skipped, article, around = stack[-1] if stack else ("", "", False, False, frozenset())
+        if name in WHOLE:
+            article, marks = article or (name in ("article", "main") and not marks), frozenset()
+        stack.append((name, step, other or skipped, article, around | marks))
     return nodes
 
 
-def _close(stack: list[tuple[str, str, bool]], names: set[str], limits: set[str]) -> None:
+def _close(stack: list[tuple], names: set[str], limits: set[str]) -> None:
     for k in range(len(stack) - 1, -1, -1):
         if stack[k][0] in names:
             del stack[k:]
@@ -113,25 +124,60 @@ def _close(stack: list[tuple[str, str, bool]], names: set[str], limits: set[str]
             return
 
 
-def _describe(name: str, attributes: str, in_article: bool) -> tuple[str, bool]:
-    """Path step (name and class) of an element, and whether it holds something other than the article."""
+def _describe(name: str, attributes: str, in_article: bool) -> tuple[str, bool, frozenset[str]]:
+    """Path step (name and class) of an element, whether it can't be the article's, and the names that mark it as something else.
+
+    Of several names with the same word the shortest stands for all; numbers in them don't count.
+    """
     other = name in SKIPPED or (name == "header" and not in_article)
-    step = name
+    step, marks = name, {}
     if attributes and "=" in attributes:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-        said = " ".join(found.values())
-        words = {w.lower() for w in _WORD.findall(said)}
-        if name not in WHOLE:
-            other = other or bool(words & OTHER) or (not in_article and bool(HEADS & set(said.lower().split())))
+        for said in sorted(" ".join(found.values()).split(), key=len):
+            words = {w.lower() for w in _WORD.findall(said)}
+            if not words & STATES:
+                for word in words & OTHER:
+                    marks.setdefault(word, _NUMBER.sub("", said))
+            if not in_article and said.lower() in HEADS:
+                marks.setdefault("header", said)
         step = ".".join([name, *found.get("class", "").split()[:3]])
         if re.search(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none", attributes):
             other = True
-    return step, other
+    return step, other, frozenset(marks.values())
+
+
+def without_marked(nodes: list[Node], most: float = 2 / 3, most_readers: float = 0.9) -> list[Node]:
+    """Nodes without those under a name that marks other matter, unless the article itself is under it.
+
+    A name's share is its text outside links over that plus the text under no such name, within the
+    page's article elements if they hold text. One with more than ``most`` (``most_readers`` for what
+    readers wrote) is a wrapper and marks nothing: its text counts as free. The greatest come
+    first, what readers wrote last.
+    """
+    size = [0 if n.link else len(n.text.strip()) for n in nodes]
+    scope = [(n.marks, s) for n, s in zip(nodes, size) if n.article and s] or [(n.marks, s) for n, s in zip(nodes, size) if s]
+    marking = {m for n in nodes for m in n.marks}
+    readers = {m for m in marking if READERS & {w.lower() for w in _WORD.findall(m)}}
+    by: dict[frozenset[str], int] = {}
+    for marks, s in scope:
+        by[marks] = by.get(marks, 0) + s
+    under: dict[str, list[frozenset[str]]] = {m: [] for m in marking}
+    for marks in by:
+        for m in marks:
+            under[m].append(marks)
+    held = {m: sum(by[marks] for marks in under[m]) for m in marking}
+    free = by.get(frozenset(), 0)
+    # What is free only grows, and shares fall with the text held, so one pass does.
+    for m in sorted(marking, key=lambda m: (m in readers, -held[m], m)):
+        if held[m] > (most_readers if m in readers else most) * (held[m] + free):
+            marking.remove(m)
+            free += sum(by[marks] for marks in under[m] if not marks & marking)
+    return [n for n in nodes if not n.marks & marking]
 
 
 def main_text(html: str | None, share: float = 0.9, spread: float = 1.0) -> str:
     """Blocks of the article joined by blank lines; empty if the page has no text."""
-    nodes = [n for n in text_nodes(html or "") if n.text]
+    nodes = without_marked(text_nodes(html or ""))
     shown = [n for n in nodes if not n.text.isspace()]
     if not shown:
         return ""
