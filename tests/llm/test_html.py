@@ -61,6 +61,29 @@ def test_comments_longer_than_the_article_and_boxes_beside_a_short_one():
     assert main_text('<div class="ad">Buy now, cheap. Very cheap, indeed.</div><article><p>Short.</p></article>') == "Short."
 
 
+LEAD, LONG = "A lead, of one sentence.", "<p>" + "Long text, of many parts. " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("parts", [3, 30])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", '<div id="page"><div class="post">{}</div></div>'])
+def test_headline_lead_and_end_beside_a_long_body_are_kept(around, parts):
+    page = f'<h1>Title</h1><div class="lead"><p>{LEAD}</p></div><div class="body">{"<h2>Part</h2>" + LONG * parts}</div><div class="end"><p>The end.</p></div>'
+    got = main_text("<body>" + around.format(page) + "</body>").split("\n\n")
+    assert got[:3] == ["Title", LEAD, "Part"] and got[-1] == "The end." and len(got) == parts + 4
+
+
+def test_content_is_kept_wherever_it_lies():
+    first = '<div class="a"><p>' + "One part, of some length. " * 20 + "</p></div>"
+    got = main_text(f'<body><div class="box">{first}</div><div class="all"><div class="b">{LONG * 20}</div></div><div class="end"><i>ok</i></div></body>')
+    assert got.startswith("One part") and got.count("\n\n") == 20
+
+
+def test_a_headline_in_a_part_of_its_own():
+    part = '<div class="elementor-widget elementor-widget-{}"><div class="elementor-widget-container">{}</div></div>'
+    page = part.format("heading", "<h1>Head</h1>") + part.format("text", "<p>One, two. Three, four.</p>") + part.format("text", "<p>Five, six. Seven.</p>")
+    assert main_text(f"<body><div>{page}</div>{BOXES}</body>") == "Head\n\nOne, two. Three, four.\n\nFive, six. Seven."
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (2, "v", "", "x")], "page_id long, url string, html string, text string")
     got = sorted(((str(r.page_id), r.n_chars, r.text) for r in extract_text(df).collect()))

@@ -2,8 +2,8 @@
 
 Every stretch of text has a path of tags from the root. Lengths and punctuation marks are added up
 by path; their means per node are fused, smoothed along the page and averaged by path again. Paths
-above a threshold are content; the element that holds nearly all of it is the article, and its text
-is returned without the parts that are marked as something else. A class, id or role marks only if
+above a threshold are content and are returned wherever they lie; of the article, the element that
+holds nearly all content, the rest is returned as well, all without the parts that are marked as something else. A class, id or role marks only if
 what bears it holds less than the bulk of the page's text: it may as well name a wrapper.
 """
 
@@ -42,6 +42,7 @@ WHOLE = frozenset("html body main article".split())
 STATES = frozenset("has no with without open closed layout".split())
 # Words for what readers wrote, which may be longer than the article.
 READERS = frozenset("comment comments disqus respond reply replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(>|\Z)|([^<]+|<)""", re.S)
@@ -196,9 +197,9 @@ def main_text(html: str | None, share: float = 0.9, spread: float = 1.0) -> str:
     score = np.sqrt(np.bincount(owner, smooth) / per * fused)
     content = score >= min(score.std(), score.max())
     mass = np.where(content, total, 0.0)
-    article = _container(paths, mass, share)
     menu = (np.bincount(owner, linked) >= 0.99 * total) & (per >= 3)
-    kept = {p for i, p in enumerate(paths) if p[:len(article)] == article and not menu[i]}
+    article = _widened(_container(paths, mass, share), paths, content & ~menu, total, np.bincount(owner, linked))
+    kept = {p for i, p in enumerate(paths) if (content[i] or p[:len(article)] == article) and not menu[i]}
     blocks: dict[int, list[str]] = {}
     for node in nodes:
         if node.path in kept or (node.text.isspace() and node.block in blocks):
@@ -208,18 +209,48 @@ def main_text(html: str | None, share: float = 0.9, spread: float = 1.0) -> str:
 
 
 def _container(paths: list[tuple[str, ...]], mass: np.ndarray, share: float) -> tuple[str, ...]:
-    """The deepest path whose subtree holds ``share`` of the content's characters."""
+    """The deepest path whose subtree holds ``share`` of the content's characters, at most down to an article or main element."""
     need, prefix = share * mass.sum(), ()
-    while True:
+    while not prefix or _name(prefix) not in ("article", "main"):
         below: dict[tuple[str, ...], float] = {}
         for path, m in zip(paths, mass):
             if path[:len(prefix)] == prefix and len(path) > len(prefix):
                 step = path[:len(prefix) + 1]
                 below[step] = below.get(step, 0.0) + m
         step = max(below, key=below.get, default=None)
-        if step is None or below[step] < need or step[-1].split(".")[0] in ("p", "li", "td", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "pre"):
+        if step is None or below[step] < need or _name(step) in ("p", "li", "td", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "pre"):
             return prefix
         prefix = step
+    return prefix
+
+
+def _name(path: tuple[str, ...]) -> str:
+    return path[-1].split(".")[0]
+
+
+def _rank(paths: list[tuple[str, ...]]) -> int:
+    """Level of the highest heading among the paths, 7 if there is none."""
+    return min((int(_name(p)[1]) for p in paths if p and _name(p) in HEADINGS), default=7)
+
+
+def _widened(article: tuple[str, ...], paths: list[tuple[str, ...]], content: np.ndarray, total: np.ndarray, linked: np.ndarray) -> tuple[str, ...]:
+    """The next element around ``article`` that holds more text, if what it adds is the article's, too.
+
+    That is, it holds content or a heading above all headings inside, and more text outside links
+    than in them. An article or main element is never widened, nor is anything to the whole page.
+    """
+    if article and _name(article) in ("article", "main"):
+        return article
+    inside = [p for p in paths if p[:len(article)] == article]
+    for k in range(len(article) - 1, 0, -1):
+        wider = article[:k]
+        added = [i for i, p in enumerate(paths) if p[:k] == wider and p[:len(article)] != article]
+        if _name(wider) in ("html", "body"):
+            break
+        if added:
+            ours = content[added].any() or _rank([paths[i] for i in added]) < _rank(inside)
+            return wider if ours and linked[added].sum() <= total[added].sum() / 2 else article
+    return article
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
