@@ -1,3 +1,5 @@
+import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -74,3 +76,38 @@ def test_overlapping_sources(spark):
     assert sum(r.taken for r in got) == 600
     # b may take 300 of the words of 20 documents, a the rest; no document more than three times.
     assert max(r.taken for r in got) <= 30 and sum(r.taken for r in got if r.source != ["a"]) >= 300
+
+
+def seeded(i):
+    return int(hashlib.md5(f"0:{i}".encode()).hexdigest()[:15], 16)
+
+
+@pytest.mark.parametrize("long", [60_000, 40_000])
+def test_a_document_that_does_not_fit_is_passed_over(spark, long):
+    # Sources of equal size weigh 5, 2 and 1; the last holds one long document, third in the order, and 180 short ones.
+    ids = sorted(range(181), key=seeded)
+    size = long + 18_000
+    rows = [(i, "w " * (long if i == ids[2] else 100), "c") for i in ids] + [(1000 + k, "w " * (size // 10), s) for s in "ab" for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = lambda **more: sum(r.taken for r in mix_sources(docs, **more).collect() if r.source == "c")
+    assert taken() == 18_000 and taken(pass_over=False) == {60_000: 300, 40_000: 40_200}[long]
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_extra_copies_are_first_fit_in_the_seeded_order(spark, monkeypatch, few):
+    monkeypatch.setattr("tidepanel.llm.mixing.FEW", few)
+    rng = random.Random(3)
+    rows = [(i, "w " * int(rng.paretovariate(0.6)) if rng.random() < 0.9 else "", "abc"[i % 3]) for i in range(90)]
+    rows = [(i, t[:8_000], s) for i, t, s in rows]
+    got = {r.doc_id: r for r in mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()}
+    for source in "abc":
+        mine = [got[i] for i in sorted((i for i, _, s in rows if s == source), key=seeded)]
+        full, left = divmod(int(mine[0].target + 0.5), mine[0].source_size)
+        want = {}
+        for r in mine:
+            want[r.doc_id] = 0 < r.size <= left
+            left -= r.size * want[r.doc_id]
+        near = [r for r in mine if r.size and not want[r.doc_id] and abs(left - r.size) < left]
+        if near:
+            want[min(near, key=lambda r: abs(left - r.size)).doc_id] = True
+        assert {r.doc_id: r.taken for r in mine} == {r.doc_id: r.size * (full + want[r.doc_id]) for r in mine}

@@ -4,7 +4,7 @@ Documents are aggregated by membership pattern (the set of sources that hold the
 offers its words once at no cost, a second time at cost 1, a third at cost 2; the flow routes these
 to the sources' quotas. Only patterns and sources reach the driver. The words that a pattern sends
 are then taken from its documents: all of them so many times over, and once more those that come
-first in a seeded order.
+first in a seeded order and fit.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ REPEATS = 3
 # Levels of the seeded order that are resolved by sums before single documents are looked at.
 LEVELS = (12, 24, 36)
 KEY_BITS = 60
+# So many documents of a pattern are put in order without levels.
+FEW = 100_000
 # Seeded order; the last three only tell apart what the key doesn't.
 ORDER = ("key", "order_id", "size", "_row")
 
@@ -103,7 +105,7 @@ def min_cost_flow(supply: list[int], quota: list[int], members: list[list[int]],
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Callable[[], Column] | None = None,
-    source_col: str = "source", seed: int = 0, weights: tuple[int, ...] = WEIGHTS, carry: Sequence[str] = (),
+    source_col: str = "source", seed: int = 0, weights: tuple[int, ...] = WEIGHTS, carry: Sequence[str] = (), pass_over: bool = True,
 ) -> DataFrame:
     """Words to take from each document: id, size, source, source_size, target, taken.
 
@@ -112,8 +114,9 @@ def mix_sources(
     sums over its sources. Sources in code point order weigh ``weights`` in turn and share the size
     of all documents; targets stop at three times the size of what the source holds. A document is
     taken 0 to 3 times. Of the documents of a pattern, those first in the order of a hash of seed
-    and id are taken once more than the rest, as many as fit; one more, the nearest in size, closes
-    what is still missing. Rows with equal ids follow each other by size; null ids count as one id.
+    and id are taken once more than the rest, as many as fit: one greater than what is left is passed
+    over (without ``pass_over`` it ends the choice). One more, the nearest in size, closes what is
+    still missing. Rows with equal ids follow each other by size; null ids count as one id.
     Empty documents take nothing. No rows in, no rows out. Other columns are not read. There may
     be many documents, but patterns and sources must fit the driver: they do for sources of a mix.
     ``carry`` names small columns to hand through. Tables with one row per pattern come from or fit
@@ -141,7 +144,7 @@ def mix_sources(
         full, rest = divmod(sum(sent), size) if size else (0, 0)
         plan.append((list(pattern), sum(held[at[s]] for s in pattern), float(sum(targets[at[s]] for s in pattern)), full, rest))
     table = spark.createDataFrame(plan, "pattern array<string>, source_size long, target double, full long, rest long")
-    marked = saved(_mark_prefix(rows, table), "marked")
+    marked = saved(_mark_fitting(rows, table, pass_over), "marked")
     # The document nearest to what is still missing closes the gap, if it brings the sum nearer.
     missing = marked.groupBy("pattern").agg((F.max("rest") - F.sum(F.when(F.col("once"), F.col("size")).otherwise(0))).alias("missing"))
     gap = F.abs(F.col("missing") - F.col("size"))
@@ -156,23 +159,68 @@ def mix_sources(
     )
 
 
-def _mark_prefix(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Adds ``rest`` and ``once``: whether a document is in the longest prefix of its pattern's order with no more than ``rest`` words.
+def _mark_fitting(rows: DataFrame, table: DataFrame, pass_over: bool) -> DataFrame:
+    """Adds ``rest`` and ``once``: whether a document is taken once more, in its pattern's order, of ``rest`` words.
+
+    A round takes the longest prefix of the documents that has no more words than are left. The next
+    one does so with those behind it that still fit, until none does; without ``pass_over`` there
+    is one round. A round is known by its first document not taken, its last one not taken before it
+    and the words left, so only one row per pattern and round reaches the driver.
+    """
+    spark = rows.sparkSession
+    rows = rows.join(F.broadcast(table.select("pattern", "rest")), "pattern")
+    order, of_order = F.struct(*ORDER), ", ".join(f"{c}: bigint" for c in ORDER)
+    schema = f"pattern array<string>, left long, after struct<{of_order}>, cut struct<{of_order}>"
+
+    def taken(after: Column, cut: Column, left: Column) -> Column:
+        return (F.col("size") > 0) & (F.col("size") <= left) & F.coalesce(order > after, F.lit(True)) & F.coalesce(order < cut, F.lit(True))
+
+    rounds: list[tuple] = []
+    open_ = [(r["pattern"], r["rest"], None) for r in table.where("rest > 0").collect()]
+    levels: Sequence[int] = LEVELS
+    while open_:
+        state = spark.createDataFrame([(*o, None) for o in open_], schema)
+        fit = rows.join(F.broadcast(state), "pattern").where(F.col("size") > 0)
+        if rounds:
+            fit = fit.where(taken(F.col("after"), F.lit(None), F.col("left")))
+        cuts = {_key(r["pattern"]): r["cut"] for r in _cuts(fit.select("pattern", *ORDER, "left"), levels).collect()}
+        now = [(*o, cuts.get(_key(o[0]))) for o in open_]
+        rounds += now
+        if not pass_over or not cuts:
+            break
+        # What the round took, and whether anything behind it still fits.
+        done = rows.join(F.broadcast(spark.createDataFrame([n for n in now if n[3]], schema)), "pattern")
+        sums = done.groupBy("pattern").agg(F.max("left").alias("left"), F.sum(F.when(taken(F.col("after"), F.col("cut"), F.col("left")), F.col("size")).otherwise(0)).alias("sum"))
+        left = {_key(r["pattern"]): (r["pattern"], r["left"] - r["sum"], cuts[_key(r["pattern"])]) for r in sums.collect()}
+        state = spark.createDataFrame([(*o, None) for o in left.values()], schema)
+        behind = rows.join(F.broadcast(state), "pattern").where(taken(F.col("after"), F.lit(None), F.col("left"))).groupBy("pattern").count().collect()
+        open_ = [left[_key(r["pattern"])] for r in behind]
+        levels = LEVELS if max((r["count"] for r in behind), default=0) > FEW else ()
+    by: dict[tuple, list[tuple]] = {}
+    for pattern, *window in rounds:
+        by.setdefault(_key(pattern), []).append(tuple(window))
+    made = spark.createDataFrame([(list(k), w) for k, w in by.items()], f"pattern array<string>, rounds array<struct<left: bigint, after: struct<{of_order}>, cut: struct<{of_order}>>>")
+    # The first round's prefix ends before its cut whatever its documents' sizes, so the bound by size changes nothing there.
+    once = F.coalesce(F.exists("rounds", lambda r: taken(r["after"], r["cut"], r["left"])), F.lit(False))
+    return rows.join(F.broadcast(made), "pattern", "left").withColumn("once", once).drop("rounds")
+
+
+def _key(pattern: Sequence[str | None]) -> tuple[str | None, ...]:
+    return tuple(pattern or ())
+
+
+def _cuts(inside: DataFrame, levels: Sequence[int]) -> DataFrame:
+    """For each pattern the first document, in order, up to which there are more than ``left`` words; no row if there is none.
 
     The seeded key is resolved 12 bits at a time: sums per prefix, at most 4,096 for a pattern, tell
     in which the prefix ends. After three levels a pattern's documents are down to one in 2 ** 36,
-    and are put in order one by one.
+    and are put in order one by one; few documents are without levels.
     """
-    rows = rows.join(F.broadcast(table.select("pattern", "rest")), "pattern")
-    inside = rows.where("size > 0 and rest > 0").select("pattern", *ORDER, F.col("rest").alias("left"))
-    for bits in LEVELS:
+    for bits in levels:
         prefix = F.shiftright("key", KEY_BITS - bits)
         sums = inside.groupBy("pattern", prefix.alias("prefix")).agg(F.sum("size").alias("sum"), F.max("left").alias("left"))
         before = F.coalesce(F.sum("sum").over(Window.partitionBy("pattern").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         hit = sums.withColumn("before", before).where("before <= left and before + sum > left").select("pattern", "prefix", (F.col("left") - F.col("before")).alias("left"))
         inside = saved(inside.drop("left").withColumn("prefix", prefix).join(F.broadcast(hit), ["pattern", "prefix"]).drop("prefix"), "cut")
     upto = F.sum("size").over(Window.partitionBy("pattern").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
-    # The first document that no longer fits.
-    cut = saved(inside.withColumn("upto", upto).where("upto > left").groupBy("pattern").agg(F.min(F.struct(*ORDER)).alias("cut")), "cut")
-    once = F.coalesce(F.struct(*ORDER) < F.col("cut"), F.lit(True)) & (F.col("size") > 0) & (F.col("rest") > 0)
-    return rows.join(F.broadcast(cut), "pattern", "left").withColumn("once", once).drop("cut")
+    return inside.withColumn("upto", upto).where("upto > left").groupBy("pattern").agg(F.min(F.struct(*ORDER)).alias("cut"))

@@ -87,7 +87,8 @@ SELECT doc_id, size, source, source_size, round(target, 6) AS target,
 def op2(docs: DataFrame) -> DataFrame:
     from tidepanel.llm.mixing import mix_sources
 
-    return mix_sources(docs).withColumn("target", F.round("target", 6))
+    # The SQL ends the choice at the first document that does not fit.
+    return mix_sources(docs, pass_over=False).withColumn("target", F.round("target", 6))
 
 
 @_query("op5_simhash", "documents")
