@@ -39,7 +39,7 @@ def _taken(keyed: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; text that is null or has no letter goes."""
+    """Documents in a known language; text that is null or has no letter goes, and nothing else if no language can be learnt."""
     ship_package(spark)
     return keep_identified(docs)
 

@@ -81,3 +81,9 @@ def test_held_out_rows_and_odd_rows(spark, odd, nothing):
     kept = keep_identified(odd)
     assert kept.columns == odd.columns and kept.count() == sum(r.lang_pred != "und" for r in found)
     assert df.where(is_held_out(df.doc_id)).count() == sum(r.held_out for r in got.values())
+
+
+def test_texts_with_a_letter_stay_if_there_is_nothing_to_learn_from(spark, odd):
+    unlabelled = odd.selectExpr("doc_id", "text", "cast(null as string) lang", "source")
+    letters = sorted(r.text for r in odd.collect() if any(c.isalpha() for c in r.text or ""))
+    assert sorted(r.text for r in keep_identified(unlabelled).collect()) == letters

@@ -152,14 +152,22 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 400) -> DataFrame:
-    """Rows of ``docs`` whose text has a language, with all their columns; learns as ``identify_language`` does."""
+    """Rows of ``docs`` whose text has a language, with all their columns; learns as ``identify_language`` does.
+
+    With nothing to learn from, every text that has a letter stays.
+    """
     model = train(docs.where(~is_held_out(F.col(id_col))), text_col, lang_col, id_col, sample_docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def known(text: str | None) -> bool:
+        if not shared.value.languages:
+            return text is not None and has_letter(text)
+        return shared.value.predict(text)[0] != UNKNOWN
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text_col))
-            yield batch.filter(pa.array([shared.value.predict(t.as_py())[0] != UNKNOWN for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([known(t.as_py()) for t in texts], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
