@@ -5,13 +5,16 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import functions as F
 
 from tests.conftest import column, day, panel
 from tidepanel.operators import recursive as R
-from tidepanel.operators import trees
+from tidepanel.operators import boosting, trees
+from tidepanel.operators import target_stats as stats
 from tidepanel.operators.evaluation import fold_metrics, group_importance, summarize_folds
-from tidepanel.operators.features import add_lag_features, add_rolling_features, build_feature_matrix, feature_columns
+from tidepanel.operators.features import add_lag_features, add_rolling_features, build_feature_matrix, feature_columns, model_columns
 from tidepanel.operators.panel import training_matrix
 from tidepanel.operators.splits import Fold
 from tidepanel.plans import evaluate, predict, prepare, train, tune
@@ -77,7 +80,7 @@ def test_column_and_transformer_recursion_agree(spark, season):
     matrix = build_feature_matrix(season, groups=["base", "lag", "rolling"]).where(F.col("date") <= F.lit(fold.train_end))
     model, _ = trees.fit_model(matrix.withColumn("y_true", F.col("sales")), cols, family="linear", target_transform="identity")
     fitted = model.stages[-1]
-    names = trees.vector_names(cols)
+    names = trees.vector_names(model)
     state = R.origin_state(season, [fold], ["onpromotion"])
     by_model = R.forecast_transformer(state, [model], cols, 5, target_transform="identity", checkpoint_every=2)
     coef = dict(zip(names[:4], fitted.coefficients[:4]))
@@ -100,13 +103,16 @@ def test_trees_beat_seasonal_naive_and_reproduce(spark, season, tmp_path):
     loaded = trees.load_fold_models(str(tmp_path / "models"), 2)
     first = train.forecast_fold(season, SEASON_FOLDS[0], loaded[:1], groups=GROUPS)
     assert sorted(r["y_pred"] for r in first.collect()) == pytest.approx(sorted(r["y_pred"] for r in oof.where("fold = 0").collect()))
-    gains = trees.importances(spark, models[0], trees.vector_names(feature_columns(GROUPS), ["family"]), 0)
-    groups = {r["feature_group"]: r["mean_gain"] for r in group_importance(gains, {g: feature_columns([g]) for g in GROUPS}).collect()}
+    gains = trees.importances(spark, models[0], 0)
+    groups = {r["feature_group"]: r["mean_gain"] for r in group_importance(gains, {g: model_columns([g]) for g in GROUPS}).collect()}
     assert sum(groups.values()) == pytest.approx(1.0)
     tables = run_stress(season, oof, SEASON_FOLDS, models, groups=GROUPS)
     rows = {r["scenario"]: r for r in tables["scenarios"].collect()}
     assert rows["missing_oil_holiday_join"]["status"] == "not_applicable" and rows["lag_history_spike_clip"]["status"] == "ok"
     assert rows["noise_rel_10pct"]["delta_rmsle"] is not None
+    pay = rows["payday_subset_vs_complement"]
+    assert pay["status"] == "ok" and pay["stressed_rmsle"] == pytest.approx(tables["payday"].first()["pooled_payday_rmsle"])
+    assert pay["delta_rmsle"] == pytest.approx(pay["stressed_rmsle"] - score["mean_rmsle"])
     # With the forecasts filled in, the frozen models reproduce the clean scores.
     assert rows["lag_history_spike_clip"]["clean_fold_mean_rmsle"] == pytest.approx(score["mean_rmsle"], rel=1e-9)
 
@@ -126,17 +132,48 @@ def test_early_stopping_uses_holdout(season):
     cut = F.col("date") < F.lit(day(90))
     _, info = trees.fit_model(matrix.where(cut), feature_columns(["base", "calendar"]), holdout=matrix.where(~cut),
                               params={"n_estimators": 4, "max_depth": 2}, patience=2)
-    assert 1 <= info["best_iteration"] <= 4
+    assert 1 <= info["best_iteration"] <= info["fitted_rounds"] <= 4
 
 
-def test_resume_search_and_runs(spark, season, tmp_path):
-    space = {"learning_rate": {"type": "float", "low": 0.1, "high": 0.3}}
-    kw = dict(space=space, groups=["base"], val_days=5, fixed={"n_estimators": 1, "max_depth": 2})
+def test_search_in_rungs_resumes_with_the_same_winner(spark, season, tmp_path):
+    space = {"learning_rate": {"type": "log_float", "low": 0.05, "high": 0.5}, "max_depth": {"type": "int", "low": 1, "high": 3}}
+    kw = dict(space=space, groups=["base", "calendar"], val_days=5, rungs=[1, 3], share=0.5)
     path = str(tmp_path / "trials")
-    first = tune.run_search(season, SEASON_FOLDS[:1], path, n_trials=1, **kw)
-    assert first.count() == 1
-    more = tune.run_search(season, SEASON_FOLDS[:1], path, n_trials=2, **kw).orderBy("trial").collect()
-    assert [r["trial"] for r in more] == [0, 1] and all(r["state"] == "COMPLETE" for r in more)
+    full = tune.run_search(season, SEASON_FOLDS, path, n_trials=4, **kw)
+    rows = [r.asDict() for r in full.orderBy("rung", "trial").collect()]
+    assert [(r["rung"], r["mean_rounds"]) for r in rows] == [(0, 1.0)] * 4 + [(1, 3.0)] * 2
+    first = sorted(rows[:4], key=lambda r: (r["value"], r["trial"]))
+    assert {r["trial"] for r in rows[4:]} == {r["trial"] for r in first[:2]}
+    winner = tune.retrain_spec(full, "x", list(space))["params"]
+    best = min(rows[4:], key=lambda r: (r["value"], r["trial"]))
+    assert winner == {k: best[k] for k in space}
+    # Cut off after two trials of the first rung: the rest runs, nothing runs twice.
+    part = str(tmp_path / "part")
+    runs.append_trials(full.where("rung = 0 and trial < 2"), part)
+    again = tune.run_search(season, SEASON_FOLDS, part, n_trials=4, **kw)
+    assert again.count() == 6 and tune.retrain_spec(again, "x", list(space))["params"] == winner
+    values = lambda t: [(r["rung"], r["trial"], round(r["value"], 9)) for r in t.orderBy("rung", "trial").collect()]
+    assert values(again) == values(full)
+
+
+def test_joint_search_takes_columns_by_group(spark, season, tmp_path):
+    extras = {
+        "oil": season.select("date").distinct().withColumn("dcoilwtico", F.dayofmonth("date").cast("double")),
+        "holidays_events": spark.createDataFrame(
+            [(day(7), "Holiday", "National", "c", "d", False)], "date date, type string, locale string, locale_name string, description string, transferred boolean"),
+        "stores": spark.createDataFrame([(i, "c", f"s{i}", "A", i) for i in range(3)], "store_nbr int, city string, state string, type string, cluster int"),
+        "transactions": season.select("date", "store_nbr").distinct().withColumn("transactions", F.dayofmonth("date")),
+    }
+    space = {"learning_rate": {"type": "float", "low": 0.1, "high": 0.3}}
+    trials = tune.run_search(season, SEASON_FOLDS[:1], str(tmp_path / "t"), n_trials=3, space=space, joint_groups=True, extras=extras,
+                             val_days=5, rungs=[2], fixed={"max_depth": 2}).collect()
+    assert len(trials) == 3 and len({(r["oil"], r["holiday"], r["store_meta"], r["transactions"]) for r in trials}) > 1
+    assert all(r["value"] > 0 for r in trials)
+    with pytest.raises(ValueError, match="recursively"):
+        tune.run_search(season, SEASON_FOLDS[:1], "unused", n_trials=1, space=space, joint_groups=True, recursive=True)
+
+
+def test_runs_are_reused(spark, season, tmp_path):
     out = str(tmp_path / "outputs")
     inventory = train.run_matrix(season, SEASON_FOLDS, out, train.NAIVE_RUNS)
     assert inventory.count() == 3
@@ -238,3 +275,93 @@ def test_text_columns_with_many_levels_fit(spark):
     df = spark.createDataFrame(rows, "kind string, y_true double, date date")
     model, info = trees.fit_model(df, ["kind"], params={"maxIter": 2, "maxDepth": 2})
     assert info["params"]["maxBins"] >= 151 and model.stages[-1].getNumTrees == 2
+
+
+def boosted_rows(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3))
+    y = np.sin(2 * x[:, 0]) + 0.5 * x[:, 1] * (x[:, 2] > 0) + rng.normal(scale=0.3, size=n)
+    rows = [(float(b), Vectors.dense(a.tolist())) for a, b in zip(x, y)]
+    return spark.createDataFrame(rows, ["label", "features"]).persist()
+
+
+BOOST = {"maxIter": 40, "stepSize": 0.3, "maxDepth": 3, "maxBins": 32, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
+
+
+def test_boosting_is_fit_and_cut_without_fitting_twice(spark):
+    fit, held = boosted_rows(spark, 600, 1), boosted_rows(spark, 200, 2)
+    model, info = boosting.boost(fit, held, BOOST, seed=5, patience=4, first_block=3)
+    whole = GBTRegressor(seed=5, **BOOST).fit(fit)
+    errors = whole.evaluateEachIteration(held, "squared")
+    assert info["errors"] == pytest.approx(errors[:len(info["errors"])], rel=1e-9)
+    assert info["best_iteration"] == boosting.best_round(errors, 4) == model.getNumTrees
+    assert info["fitted_rounds"] < 40 and info["fitted_rounds"] <= info["best_iteration"] + 4 + 4
+    cut = GBTRegressor(seed=5, **{**BOOST, "maxIter": info["best_iteration"]}).fit(fit)
+    mine, theirs = ([r["prediction"] for r in m.transform(held).collect()] for m in (model, cut))
+    assert mine == pytest.approx(theirs, rel=1e-9)
+
+
+def test_boosting_reproduces_and_is_stored(spark, tmp_path):
+    fit, held = boosted_rows(spark, 300, 3), boosted_rows(spark, 100, 4)
+    params = {**BOOST, "maxIter": 6, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.7"}
+    a, b = (boosting.boost(fit, held, params, seed=9, patience=50, first_block=2) for _ in range(2))
+    assert a[1] == b[1] and a[1]["fitted_rounds"] == 6 and a[0].toDebugString.split("\n")[1:] == b[0].toDebugString.split("\n")[1:]
+    a[0].write().overwrite().save(str(tmp_path / "m"))
+    back = GBTRegressionModel.load(str(tmp_path / "m"))
+    assert [r["prediction"] for r in back.transform(held).collect()] == [r["prediction"] for r in a[0].transform(held).collect()]
+    with pytest.raises(ValueError):
+        boosting.boost(fit, held, params, seed=9, patience=0)
+
+
+@pytest.mark.parametrize("side", ["high", "low", "apart"])
+def test_missing_values_take_the_side_that_fits(spark, side):
+    """NULL rows behave like large values, like small ones, or like neither."""
+    rows = []
+    for i in range(400):
+        x = float(i % 100)
+        y = {"high": float(x >= 50), "low": float(x < 50), "apart": 0.0}[side]
+        rows.append((x, y) if i % 4 else (None, 5.0 if side == "apart" else 1.0))
+    df = spark.createDataFrame(rows, "x double, y_true double")
+    params = {"maxIter": 1, "maxDepth": 1, "maxBins": 128, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
+    model, _ = trees.fit_model(df, ["x"], params=params, target_transform="identity")
+    assert trees.vector_names(model) == ["x", "x"]
+    got = {r["x"]: r["y_pred"] for r in trees.predict(df, model, ["x"], target_transform="identity").collect()}
+    assert got[None] == {"high": 1.0, "low": 1.0, "apart": 5.0}[side]
+    assert [got[1.0], got[99.0]] == {"high": [0.0, 1.0], "low": [1.0, 0.0], "apart": [0.0, 0.0]}[side]
+
+
+def test_small_holdout_falls_back_to_validation(spark, season):
+    params = {"n_estimators": 3, "max_depth": 2}
+    _, _, notes = train.score_trees(season, SEASON_FOLDS[:1], groups=["base", "calendar"], fit={"params": params, "patience": 2})
+    assert [n["stopped_on"] for n in notes] == ["validation"]
+    _, _, notes = train.score_trees(season, SEASON_FOLDS[:1], groups=["base", "calendar"], fit={"params": params, "patience": 2, "min_fit": 100, "min_holdout": 30})
+    assert [n["stopped_on"] for n in notes] == ["holdout"]
+    matrix = train.model_matrix(season, groups=["base"])
+    with pytest.raises(ValueError, match="holdout"):
+        train.fit_fold(matrix, day(105), model_columns(["base"]), params=params, patience=2)
+
+
+def test_ordered_statistics_see_earlier_days_only(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None if k == 3 else f"level {k}", day(int(d)), None if rng.random() < 0.1 else float(rng.normal())) for k in range(4) for d in rng.integers(0, 12, 20)]
+    df = spark.createDataFrame(rows, "kind string, date date, y double").withColumn("_n", F.lit("clash")).repartition(3)
+    got = stats.ordered_statistics(df.drop("_n"), ["kind"], F.col("y"), weight=4.0).collect()
+    assert len(got) == len(rows)
+
+    def expected(kind, when, history):
+        past = [y for k, d, y in history if d < when and y is not None]
+        mine = [y for k, d, y in history if d < when and y is not None and k == kind]
+        prior = sum(past) / len(past) if past else 0.0
+        return (sum(mine) + 4 * prior) / (len(mine) + 4)
+
+    for r in got:
+        assert r["kind_stat"] == pytest.approx(expected(r["kind"], r["date"], rows), abs=1e-12)
+    # What happens from a day on changes nothing for the rows up to it.
+    later = [(k, d, y if d < day(6) else 1e9) for k, d, y in rows]
+    changed = stats.ordered_statistics(spark.createDataFrame(later, "kind string, date date, y double"), ["kind"], F.col("y"), weight=4.0)
+    keys = lambda d: sorted((str(r["kind"]), r["date"], round(r["kind_stat"], 9)) for r in d if r["date"] <= day(6))
+    assert keys(changed.collect()) == keys(got)
+    new = spark.createDataFrame([("level 1",), (None,), ("unseen",)], "kind string")
+    at_end = {r["kind"]: r["kind_stat"] for r in stats.origin_statistics(new, df, ["kind"], F.col("y"), weight=4.0).collect()}
+    for kind in ("level 1", None, "unseen"):
+        assert at_end[kind] == pytest.approx(expected(kind, day(99), rows))

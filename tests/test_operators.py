@@ -337,10 +337,10 @@ def test_exact_quantiles_under_skew(spark):
     groups = ["hot" if i % 3 else "cold" for i in range(len(values))]
     df = spark.createDataFrame([(g, float(v)) for g, v in zip(groups, values)], "g string, v double").repartition(6)
     probs = [0.0, 0.1, 0.5, 0.77, 0.99, 1.0]
-    got = {r["prob"]: r["value"] for r in exact_quantiles(df, "v", probs, bins=16).collect()}
+    got = {r["prob"]: r["value"] for r in exact_quantiles(df, "v", probs, rows_per_range=250).collect()}
     for p in probs:
         assert got[p] == pytest.approx(np.quantile(values, p), rel=1e-12)
-    by = {(r["g"], r["prob"]): r["value"] for r in exact_quantiles(df, "v", probs, ["g"], bins=16).collect()}
+    by = {(r["g"], r["prob"]): r["value"] for r in exact_quantiles(df, "v", probs, ["g"], rows_per_range=250).collect()}
     for g in ("hot", "cold"):
         part = values[[x == g for x in groups]]
         for p in probs:
@@ -467,3 +467,38 @@ def test_weights_of_many_members(spark):
     names = [f"m{k}" for k in range(15)]
     w = nonneg_weights(spark.createDataFrame(rows, [*names, "y_true"]), names)
     assert min(w) >= 0 and sum(w) == pytest.approx(1) and w[2] == pytest.approx(0.6, abs=1e-6) and w[9] == pytest.approx(0.4, abs=1e-6)
+
+
+def test_level_codes_of_a_million_levels(spark):
+    n = 1_000_000
+    levels = spark.range(n, numPartitions=8).select(F.sha2(F.col("id").cast("string"), 256).alias("kind"))
+    codes = X.level_codes(levels, "kind", rows_per_range=100_000)
+    assert not [e for e in codes._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in e and "kind" in e]
+    got = codes.agg(F.count("*").alias("n"), F.min("kind_code").alias("lo"), F.max("kind_code").alias("hi"), F.count_distinct("kind_code").alias("d")).first()
+    assert tuple(got) == (n, 0, n - 1, n)
+    pairs = codes.where("kind_code % 1000 = 0").orderBy("kind_code").collect()
+    assert [r["kind"] for r in pairs] == sorted(r["kind"] for r in pairs)
+
+
+def test_seasonal_lookup_on_gaps(spark):
+    days = [0, 1, 7, 8, 9, 15, 30, 37]
+    df = spark.createDataFrame([(s, "A", day(d), float(d + 100 * s)) for s in (1, 2) for d in days], "store_nbr int, family string, date date, sales double")
+    got = {(r["store_nbr"], r["date"]): r["seasonal"] for r in naive.seasonal_lookup(df, 7).collect()}
+    assert got == {(s, day(d)): float(d - 7 + 100 * s) if d - 7 in days else None for s in (1, 2) for d in days}
+    assert "Join" not in naive.seasonal_lookup(df, 7)._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError):
+        naive.seasonal_lookup(df, 0)
+
+
+def test_column_profile_counts_without_exploding(spark):
+    df = spark.createDataFrame([(1, "a", 0.5), (1, None, None), (2, "a", None)], "k int, t string, v double")
+    for made in (explore.column_profile(df), explore.column_profile(df, approximate=True)):
+        got = {r["column_name"]: (r["dtype"], r["n_unique"], r["n_missing"]) for r in made.collect()}
+        assert got == {"k": ("int", 2, 0), "t": ("string", 1, 1), "v": ("double", 1, 2)}
+        assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spikes_are_clipped_by_group(spark):
+    df = spark.createDataFrame([(f, float(v)) for f, vs in ((0, range(101)), (1, range(0, 1010, 10))) for v in vs], "fold int, x double")
+    made = stress.clip_spikes(df, ["x"], upper=0.9, by=["fold"])
+    assert {r["fold"]: r["m"] for r in made.groupBy("fold").agg(F.max("x").alias("m")).collect()} == {0: 90.0, 1: 900.0}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.catalog.features import FOLD_MASKED, INNER, KEY, KEYS
@@ -524,33 +527,37 @@ def _noisy(col: str) -> str:
     return f"CASE WHEN {col} IS NOT NULL THEN GREATEST({col} * (1 + 0.05 * {z}), 0) END AS {col}"
 
 
-VAL_FEATURES = (f"SELECT store_nbr, family, date, y_true, {', '.join(NOISE_COLS)} FROM masked WHERE role = 'val'")
+VAL_FEATURES = (f"SELECT fold, store_nbr, family, date, y_true, {', '.join(NOISE_COLS)} FROM masked WHERE role = 'val'")
 
 
 def _val(w):
-    made = fold_matrix(w.train(), folds_of(w)[1], groups=["lag", "rolling"])
-    return made.where("role = 'val'").select(*KEYS, "y_true", *NOISE_COLS)
+    """Validation rows of all folds."""
+    made = [fold_matrix(w.train(), f, groups=["lag", "rolling"]) for f in folds_of(w)]
+    return reduce(DataFrame.unionByName, made).where("role = 'val'").select("fold", *KEYS, "y_true", *NOISE_COLS)
 
 
 @query("n1_relative_noise", oracle(
-    f"SELECT store_nbr, family, date, y_true, {', '.join(_noisy(c) for c in NOISE_COLS)} FROM vf", "y_true " + " ".join(NOISE_COLS), masked=FOLD_MASKED, vf=VAL_FEATURES))
+    f"SELECT fold, store_nbr, family, date, y_true, {', '.join(_noisy(c) for c in NOISE_COLS)} FROM vf", "y_true " + " ".join(NOISE_COLS), masked=FOLD_MASKED, vf=VAL_FEATURES))
 def _(w):
     return stress.relative_noise(_val(w), NOISE_COLS, relative=0.05, seed=7, non_negative=NOISE_COLS)
 
 
 @query("n2_null_columns", oracle(
-    "SELECT store_nbr, family, date, y_true, NULL::DOUBLE AS sales_lag_7, sales_roll_mean_28 FROM vf", "y_true sales_roll_mean_28", masked=FOLD_MASKED, vf=VAL_FEATURES))
+    "SELECT fold, store_nbr, family, date, y_true, NULL::DOUBLE AS sales_lag_7, sales_roll_mean_28 FROM vf", "y_true sales_roll_mean_28", masked=FOLD_MASKED, vf=VAL_FEATURES))
 def _(w):
     return stress.null_columns(_val(w), ["sales_lag_7"])
 
 
+def _clipped(col: str) -> str:
+    low, high = (f"(quantile_cont({col}, {q}) OVER (PARTITION BY fold))" for q in (0.0, 0.97))
+    return f"CASE WHEN {col} IS NOT NULL THEN LEAST(GREATEST({col}, {low}), {high}) END AS {col}"
+
+
 @query("n3_clip_spikes", oracle(
-    "SELECT store_nbr, family, date, y_true, LEAST(GREATEST(sales_lag_7, l0), l1) AS sales_lag_7, CASE WHEN sales_roll_mean_28 IS NOT NULL THEN LEAST(GREATEST(sales_roll_mean_28, r0), r1) END AS sales_roll_mean_28 "
-    "FROM (SELECT store_nbr, family, date, y_true, sales_lag_7, sales_roll_mean_28 FROM vf) v, (SELECT quantile_cont(sales_lag_7, 0.0) AS l0, quantile_cont(sales_lag_7, 0.97) AS l1, "
-    "quantile_cont(sales_roll_mean_28, 0.0) AS r0, quantile_cont(sales_roll_mean_28, 0.97) AS r1 FROM vf)".replace("LEAST(GREATEST(sales_lag_7, l0), l1)", "CASE WHEN sales_lag_7 IS NOT NULL THEN LEAST(GREATEST(sales_lag_7, l0), l1) END"),
+    f"SELECT fold, store_nbr, family, date, y_true, {', '.join(map(_clipped, NOISE_COLS))} FROM vf",
     "y_true sales_lag_7 sales_roll_mean_28", masked=FOLD_MASKED, vf=VAL_FEATURES))
 def _(w):
-    return stress.clip_spikes(_val(w), NOISE_COLS, upper=0.97)
+    return stress.clip_spikes(_val(w), NOISE_COLS, upper=0.97, by=["fold"])
 
 
 @query("n4_predictions_changed", oracle(
@@ -696,10 +703,10 @@ def _(w):
     return w.spark.read.schema("id bigint, sales double").option("header", True).csv(path)
 
 
-BATTERY = ("SELECT 'clean' AS scenario, y_true, sales_lag_7 AS a, sales_roll_mean_28 AS b FROM vf UNION ALL "
-           "SELECT 'noise_5pct', y_true, sales_lag_7, sales_roll_mean_28 FROM (SELECT store_nbr, family, date, y_true, " + ", ".join(_noisy(c) for c in NOISE_COLS) + " FROM vf) UNION ALL "
-           "SELECT 'missing_history', y_true, NULL, sales_roll_mean_28 FROM vf")
-BATTERY_MEANS = ("SELECT scenario, SQRT(AVG(POW(LN(1 + 0.3 * COALESCE(a, 0) + 0.7 * COALESCE(b, 0)) - LN(1 + y_true), 2))) AS m FROM battery GROUP BY 1")
+BATTERY = ("SELECT 'clean' AS scenario, fold, y_true, sales_lag_7 AS a, sales_roll_mean_28 AS b FROM vf UNION ALL "
+           "SELECT 'noise_5pct', fold, y_true, sales_lag_7, sales_roll_mean_28 FROM (SELECT fold, store_nbr, family, date, y_true, " + ", ".join(_noisy(c) for c in NOISE_COLS) + " FROM vf) UNION ALL "
+           "SELECT 'missing_history', fold, y_true, NULL, sales_roll_mean_28 FROM vf")
+BATTERY_MEANS = ("SELECT scenario, AVG(m) AS m FROM (SELECT scenario, fold, SQRT(AVG(POW(LN(1 + 0.3 * COALESCE(a, 0) + 0.7 * COALESCE(b, 0)) - LN(1 + y_true), 2))) AS m FROM battery GROUP BY 1, 2) GROUP BY 1")
 
 
 @query("n7_battery_column_model", oracle(
@@ -713,5 +720,5 @@ def _(w):
         "noise_5pct": lambda d: stress.relative_noise(d, NOISE_COLS, relative=0.05, seed=7, non_negative=NOISE_COLS),
         "missing_history": lambda d: stress.null_columns(d, ["sales_lag_7"]), "missing_oil_join": None,
     }
-    matrix = saved(_val(w).withColumn("fold", F.lit(1)), "matrix")
+    matrix = saved(_val(w), "matrix")
     return stress.scenario_scores(matrix, scenarios, lambda d: d.withColumn("y_pred", model({c: F.col(c) for c in NOISE_COLS})))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.catalog.registry import EVENT, TRAIN_END, oracle, query
@@ -21,7 +24,7 @@ from tidepanel.operators.evaluation import annotate_horizon, annotate_payday, an
 from tidepanel.operators.masks import (
     fill_from_oof, mask_numeric_after, mask_target_after, mask_with_label, write_back,
 )
-from tidepanel.operators.naive import last_value_predict, naive_oof, seasonal_naive_predict, to_long
+from tidepanel.operators.naive import last_value_predict, naive_oof, seasonal_lookup, seasonal_naive_predict, to_long
 from tidepanel.operators.panel import fold_matrix, prune_panel, train_test_panel, training_matrix
 from tidepanel.operators.splits import (
     date_grid, expand_folds, expanding_folds, fold_ranges, folds_frame, holdout_flags, inner_folds, leakage_report,
@@ -274,14 +277,23 @@ def _(w):
 
 
 @query("c8_fill_from_oof", oracle(
-    "SELECT t.store_nbr, t.family, t.date, CASE WHEN t.date <= f.train_end THEN t.sales ELSE o.y_pred END AS sales FROM train t "
-    "JOIN folds f ON f.fold = 1 AND t.date <= f.val_end LEFT JOIN oof o ON o.fold = 1 AND o.store_nbr = t.store_nbr "
-    "AND o.family = t.family AND o.date = t.date", "sales"))
+    "SELECT f.fold, t.store_nbr, t.family, COUNT(*) AS n, COUNT(o.y_pred) AS n_filled, SUM(CASE WHEN t.date <= f.train_end THEN t.sales ELSE o.y_pred END) AS sales, "
+    "SUM((t.date - f.train_end) * CASE WHEN t.date <= f.train_end THEN t.sales ELSE o.y_pred END) AS sales_by_day FROM train t "
+    "JOIN folds f ON t.date <= f.val_end LEFT JOIN oof o ON o.fold = f.fold AND o.store_nbr = t.store_nbr "
+    "AND o.family = t.family AND o.date = t.date GROUP BY 1, 2, 3", "sales sales_by_day"))
 def _(w):
+    """The filled panel of every fold; per entity its rows, sums and sums weighted by day."""
     folds = folds_of(w)
-    f = folds[1]
-    inside = w.train().select(*KEYS, "sales").where(F.col("date") <= F.lit(f.val_end))
-    return fill_from_oof(inside, oof(w, folds).where("fold = 1"), f.train_end)
+    made = saved(oof(w, folds), "oof")
+    parts = []
+    for f in folds:
+        inside = w.train().select(*KEYS, "sales").where(F.col("date") <= F.lit(f.val_end))
+        filled = fill_from_oof(inside, made.where(F.col("fold") == f.fold), f.train_end)
+        after = F.datediff("date", F.lit(f.train_end))
+        parts.append(filled.groupBy("store_nbr", "family").agg(
+            F.lit(f.fold).alias("fold"), F.count("*").alias("n"), F.count_if(after > 0).alias("n_filled"), F.sum("sales").alias("sales"),
+            F.sum(after * F.col("sales")).alias("sales_by_day")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 TEST_PRED = "SELECT id, store_nbr, family, date, CAST(onpromotion AS DOUBLE) * 2 AS sales FROM test"
@@ -323,12 +335,14 @@ SPARSE_TRAIN = f"SELECT * FROM sparse WHERE date <= {TRAIN_END}"
 
 
 @query("c13_seasonal_lookup", oracle(
-    f"SELECT t.store_nbr, t.family, t.date, h.sales AS seasonal FROM train t LEFT JOIN train h ON h.store_nbr = t.store_nbr "
-    "AND h.family = t.family AND h.date = t.date - 7", "seasonal"))
+    "SELECT t.store_nbr, t.family, year(t.date) AS year, COUNT(*) AS n, COUNT(h.sales) AS n_found, SUM(h.sales) AS seasonal, SUM(ABS(t.sales - h.sales)) AS miss "
+    "FROM train t LEFT JOIN train h ON h.store_nbr = t.store_nbr AND h.family = t.family AND h.date = t.date - 7 GROUP BY 1, 2, 3", "seasonal miss"))
 def _(w):
-    rows = w.train().select(*KEYS, "sales")
-    back = rows.select("store_nbr", "family", F.date_add("date", 7).alias("date"), F.col("sales").alias("seasonal"))
-    return rows.drop("sales").join(back, KEYS, "left")
+    """The value a week earlier of every panel row, summed up per entity and year."""
+    found = seasonal_lookup(w.train().select(*KEYS, "sales"), 7)
+    return found.groupBy("store_nbr", "family", F.year("date").alias("year")).agg(
+        F.count("*").alias("n"), F.count("seasonal").alias("n_found"), F.sum("seasonal").alias("seasonal"),
+        F.sum(F.abs(F.col("sales") - F.col("seasonal"))).alias("miss"))
 
 
 @query("c14_last_value_map", oracle(
@@ -636,20 +650,33 @@ def _(w):
     return full.select(*KEYS, "y_true", *X.feature_columns(["lag"]))
 
 
-FOLD_MASKED = ("SELECT store_nbr, family, date, onpromotion, y_true, role, {lags}, {rolls} FROM "
-               "(SELECT t.store_nbr, t.family, t.date, t.onpromotion, t.sales AS y_true, CASE WHEN t.date <= f.train_end THEN t.sales END AS sales, "
-               "CASE WHEN t.date <= f.train_end THEN 'train' ELSE 'val' END AS role FROM train t JOIN folds f ON f.fold = 1 AND t.date <= f.val_end) {over}").format(
-                   lags=LAGS, rolls=ROLLS, over=OVER)
-TX_MASKED = ("SELECT date, store_nbr, LAG(m) OVER w AS transactions_lag_1, AVG(m) OVER (PARTITION BY store_nbr ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) "
-             "AS transactions_roll_mean_7 FROM (SELECT tx.*, CASE WHEN date <= (SELECT train_end FROM folds WHERE fold = 1) THEN transactions END AS m FROM tx) "
-             "WINDOW w AS (PARTITION BY store_nbr ORDER BY date)")
+FOLD_MASKED = ("SELECT fold, store_nbr, family, date, onpromotion, y_true, role, {lags}, {rolls} FROM "
+               "(SELECT f.fold, t.store_nbr, t.family, t.date, t.onpromotion, t.sales AS y_true, CASE WHEN t.date <= f.train_end THEN t.sales END AS sales, "
+               "CASE WHEN t.date <= f.train_end THEN 'train' ELSE 'val' END AS role FROM train t JOIN folds f ON t.date <= f.val_end) {over}").format(
+                   lags=LAGS, rolls=ROLLS, over=OVER).replace("PARTITION BY store_nbr, family", "PARTITION BY fold, store_nbr, family")
+TX_MASKED = ("SELECT fold, date, store_nbr, LAG(m) OVER w AS transactions_lag_1, AVG(m) OVER (PARTITION BY fold, store_nbr ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) "
+             "AS transactions_roll_mean_7 FROM (SELECT f.fold, tx.*, CASE WHEN tx.date <= f.train_end THEN transactions END AS m FROM tx, folds f) "
+             "WINDOW w AS (PARTITION BY fold, store_nbr ORDER BY date)")
+FOLD_ROWS = _matrix_sql("masked", "txm").replace("SELECT p.store_nbr,", "SELECT p.y_true, p.role, p.fold, p.store_nbr,", 1) + " AND t.fold = p.fold"
+MATRIX_COLS = [c for c in X.feature_columns(ALL_GROUPS) if c not in KEYS]
+TEXT_COLS = ("city", "state", "store_type")
+MEASURED = ["y_true", *[c for c in MATRIX_COLS if c not in TEXT_COLS]]
 
 
 @query("l5_fold_matrix", oracle(
-    _matrix_sql("masked", "txm").replace("SELECT p.store_nbr,", "SELECT p.y_true, p.role, CAST(1 AS INT) AS fold, p.store_nbr,", 1),
-    "y_true " + MATRIX_DOUBLES, **{k: v for k, v in MATRIX_CTES.items() if k != "txf"}, masked=FOLD_MASKED, txm=TX_MASKED))
-def _(w):
-    return fold_matrix(w.train(), folds_of(w)[1], groups=ALL_GROUPS, extras=w.extras(), event_date=EVENT)
+    "SELECT fold, role, store_nbr, family, COUNT(*) AS n, " + ", ".join(f"MIN({c}) AS {c}" for c in TEXT_COLS) + ", "
+    + ", ".join(f"AVG({c}) AS {c}, COUNT({c}) AS n_{c}" for c in MEASURED) + " FROM fold_rows GROUP BY 1, 2, 3, 4",
+    " ".join(MEASURED), **{k: v for k, v in MATRIX_CTES.items() if k != "txf"}, masked=FOLD_MASKED, txm=TX_MASKED, fold_rows=FOLD_ROWS))
+def _(w):
+    """The leak-free matrix of every fold; per entity and role its rows and the mean of each column."""
+    extras = w.extras()
+    parts = []
+    for f in folds_of(w):
+        made = fold_matrix(w.train(), f, groups=ALL_GROUPS, extras=extras, event_date=EVENT)
+        parts.append(made.groupBy("fold", "role", "store_nbr", "family").agg(
+            F.count("*").alias("n"), *[F.min(c).alias(c) for c in TEXT_COLS],
+            *[a for c in MEASURED for a in (F.avg(c).alias(c), F.count(c).alias(f"n_{c}"))]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- naive forecasts ---------------------------------------------------------

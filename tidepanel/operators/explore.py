@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,28 +30,30 @@ COLUMN_ROLES: Mapping[str, str] = {
 }
 
 
-def column_profile(df: DataFrame, roles: Mapping[str, str] = COLUMN_ROLES) -> DataFrame:
+def column_profile(df: DataFrame, roles: Mapping[str, str] = COLUMN_ROLES, *, approximate: bool = False) -> DataFrame:
     """Distinct and missing counts per column.
 
-    Columns are unpivoted to ``(column, value)`` and counted by value first, so a hot value
-    collapses map-side and distinct counting is an ordinary second aggregate.
+    Each column is counted by value and the values are counted again: both steps are hash
+    aggregates, a hot value collapses map-side, and a columnar scan reads every column once in all.
+    ``approximate`` takes one pass over all columns with distinct-count sketches instead.
     """
     kinds = dict(df.dtypes)
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in df.columns]
-    )
-    per_value = df.select(F.explode(cells).alias("c")).groupBy("c.column_name", "c.v").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    lookup = F.create_map(*[F.lit(x) for c in df.columns for x in (c, kinds[c])])
-    role = F.create_map(*[F.lit(x) for c in df.columns for x in (c, roles.get(c, "other"))])
-    return per_value.groupBy("column_name").agg(
-        F.count("v").alias("n_unique"),
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
-    ).select(
-        "column_name", lookup[F.col("column_name")].alias("dtype"), role[F.col("column_name")].alias("role"),
-        "n_unique", "n_missing",
-    )
+
+    def described(counts: DataFrame, name: str) -> DataFrame:
+        return counts.select(
+            F.lit(name).alias("column_name"), F.lit(kinds[name]).alias("dtype"), F.lit(roles.get(name, "other")).alias("role"),
+            "n_unique", "n_missing")
+
+    if approximate:
+        both = [F.struct(F.approx_count_distinct(c).alias("n_unique"), F.count_if(F.col(c).isNull()).alias("n_missing")).alias(c) for c in df.columns]
+        row = df.agg(*both)
+        return reduce(DataFrame.unionByName, [described(row.select(f"`{c}`.*"), c) for c in df.columns])
+    parts = []
+    for c in df.columns:
+        values = df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
+        counts = values.agg(F.count("v").alias("n_unique"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"))
+        parts.append(described(counts, c))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def panel_extent(df: DataFrame, entity_cols: Sequence[str] = ENTITY, date_col: str = "date") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.operators.splits import Fold
@@ -37,6 +37,22 @@ def seasonal_steps(date: Column, origin: Column, period: int) -> Column:
     return F.greatest(F.ceil(F.datediff(date, origin) / F.lit(period)).cast("int"), F.lit(1))
 
 
+def seasonal_lookup(
+    df: DataFrame, period: int, *, entity_cols: Sequence[str] = ENTITY, date_col: str = "date", target_col: str = "sales",
+    name: str = "seasonal",
+) -> DataFrame:
+    """``df`` with the target exactly ``period`` days earlier, NULL where that day has no row.
+
+    A RANGE frame over day numbers inside the entity's window: gaps don't shift it, and on a panel
+    bucketed by entity nothing is shuffled or joined.
+    """
+    if period < 1:
+        raise ValueError(f"period must be at least 1, got {period}")
+    day = F.unix_date(F.col(date_col).cast("date"))
+    frame = Window.partitionBy(*entity_cols).orderBy(day).rangeBetween(-period, -period)
+    return df.withColumn(name, F.last(target_col).over(frame))
+
+
 def seasonal_naive_predict(
     history: DataFrame, future: DataFrame, *, entity_cols: Sequence[str] = ENTITY,
     date_col: str = "date", target_col: str = "sales", period: int = 7, train_end=None,

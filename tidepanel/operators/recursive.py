@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tidepanel.functions.scalars import inverse_target, nonnegative
 from tidepanel.operators.features import DEFAULT_LAGS, DEFAULT_WINDOWS
 from tidepanel.operators.splits import Fold
-from tidepanel.operators.trees import model_inputs
+from tidepanel.operators.trees import input_names, model_inputs
 from tidepanel.session import cut_lineage
 from tidepanel.sources.schemas import ENTITY
 
@@ -212,7 +212,8 @@ def forecast_transformer(
     active = F.size("fut") >= F.col("_h")
     value = nonnegative(inverse_target(F.col("prediction"), target_transform), clip_negative)
     pred = F.array(F.when(active, value))
-    inputs = model_inputs({c: F.col(c) for c in feature_cols}, text)
+    wanted = set().union(*map(input_names, models))
+    inputs = model_inputs({c: F.col(c) for c in feature_cols}, text, wanted)
     plans = []
     for i, model in enumerate(models):
         hist, preds = F.col(f"hist_{i}"), F.col(f"preds_{i}")

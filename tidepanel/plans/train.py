@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.functions.scalars import transform_target
 from tidepanel.operators import trees
 from tidepanel.operators.evaluation import fold_metrics, summarize_folds
-from tidepanel.operators.features import ablation_group_sets, feature_columns, needs_recursion
+from tidepanel.operators.features import ablation_group_sets, build_feature_matrix, category_columns, model_columns, needs_recursion
 from tidepanel.operators.naive import naive_oof, to_long
-from tidepanel.operators.panel import horizon_matrix, training_matrix
+from tidepanel.operators.panel import fold_matrix, horizon_matrix, training_matrix
 from tidepanel.operators.recursive import forecast_transformer, history_for, origin_state
 from tidepanel.operators.splits import Fold, holdout_flags, holdout_usable
+from tidepanel.operators.target_stats import ordered_statistics, origin_statistics
 from tidepanel.session import saved
 from tidepanel.sources.runs import finished_runs, run_inventory, save_oof, save_run
 from tidepanel.sources.schemas import ENTITY
@@ -41,21 +45,85 @@ def baseline_metrics(panel: DataFrame, folds: Sequence[Fold], periods: Sequence[
     return fold_metrics(to_long(wide, methods), by=["method"])
 
 
+def in_threads(spark: SparkSession, fn: Callable, items: Iterable, most: int = 4) -> Iterator:
+    """Results of ``fn`` for each item, in order, from a few driver threads.
+
+    Each thread's jobs go to a scheduler pool of their own, which shares the executors fairly where
+    the session runs in FAIR mode.
+    """
+
+    def run(pair):
+        i, item = pair
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{i % most}")
+        return fn(item)
+
+    with ThreadPoolExecutor(most) as pool:
+        yield from pool.map(inheritable_thread_target(spark)(run), enumerate(items))
+
+
+def model_matrix(panel: DataFrame, *, groups: Sequence[str], extras: Mapping[str, DataFrame] | None = None,
+                 target_transform: str | None = "log1p", **build) -> DataFrame:
+    """Training rows with model inputs and category levels, stored once.
+
+    Every feature looks strictly back, the statistics of categories too: one matrix serves all
+    folds, trials and seeds, cut by date.
+    """
+    rows = training_matrix(panel, groups=groups, extras=extras, **build)
+    cats = category_columns(groups)
+    made = ordered_statistics(rows, cats, transform_target("y_true", target_transform))
+    return saved(made.select(*dict.fromkeys([*ENTITY, "date", *cats, *model_columns(groups)]), "y_true"), "matrix")
+
+
+def with_origin_statistics(
+    rows: DataFrame, panel: DataFrame, origin, *, groups: Sequence[str], extras: Mapping[str, DataFrame] | None = None,
+    target_transform: str | None = "log1p",
+) -> DataFrame:
+    """Horizon rows with the statistics of their categories at the origin."""
+    cats = category_columns(groups)
+    past = panel.where(F.col("date") <= F.lit(origin))
+    if set(cats) - set(past.columns):
+        past = build_feature_matrix(past, groups=["store_meta"], extras=extras)
+    return origin_statistics(rows, past, cats, transform_target("sales", target_transform))
+
+
+def encode_matrix(matrix: DataFrame, cols: Sequence[str], family: str, target_transform: str | None = "log1p"):
+    """Encoder and encoded rows (keys, date, y_true, label, features), stored once for every fit."""
+    known = matrix.where(F.col("y_true").isNotNull())
+    encoder = trees.fit_encoder(known, cols, family)
+    label = transform_target("y_true", target_transform).alias("label")
+    return encoder, saved(trees.encoded(known, cols, encoder, *ENTITY, "date", "y_true", label), "vectors")
+
+
+def fit_encoded_fold(
+    vectors: DataFrame, encoder: PipelineModel, train_end, *, family: str = "gbt", params: Mapping[str, object] | None = None,
+    seed: int = 42, patience: int | None = None, holdout_days: int = 15, min_fit: int = 1000, min_holdout: int = 100,
+    fallback: Callable[[], DataFrame] | None = None,
+) -> tuple[PipelineModel, dict]:
+    """Fit on encoded rows up to the origin.
+
+    With patience, the last days are held out to stop on. If either side has too few rows, the fit
+    stops on ``fallback()`` (encoded validation rows) and uses all rows; without one it raises.
+    """
+    rows = holdout_flags(vectors, train_end, days=holdout_days)
+    held, source = None, None
+    if patience:
+        if holdout_usable(rows, min_fit, min_holdout):
+            held, source = rows.where("is_holdout"), "holdout"
+            rows = rows.where(~F.col("is_holdout"))
+        elif fallback is not None:
+            held, source = fallback(), "validation"
+        else:
+            raise ValueError("the holdout is too small to stop on, and there are no other rows to stop on")
+    model, info = trees.fit_encoded(rows, encoder, family=family, params=params, seed=seed, held=held, patience=patience)
+    return model, {**info, "stopped_on": source}
+
+
 def fit_fold(
-    matrix: DataFrame, train_end, cols: Sequence[str], *, family: str = "gbt",
-    params: Mapping[str, object] | None = None, seed: int = 42, patience: int | None = None,
-    target_transform: str = "log1p", holdout_days: int = 15,
+    matrix: DataFrame, train_end, cols: Sequence[str], *, family: str = "gbt", target_transform: str | None = "log1p", **fit,
 ) -> tuple[PipelineModel, dict]:
-    """Fit on rows up to the origin; the last days serve as stopping holdout if large enough."""
-    rows = holdout_flags(matrix, train_end, days=holdout_days)
-    held = None
-    if patience and holdout_usable(rows):
-        held = rows.where("is_holdout")
-        rows = rows.where(~F.col("is_holdout"))
-    return trees.fit_model(
-        rows, cols, family=family, params=params, seed=seed, holdout=held, patience=patience,
-        target_transform=target_transform,
-    )
+    """Encode a matrix and fit one fold of it (``fit_encoded_fold``)."""
+    encoder, vectors = encode_matrix(matrix.where(F.col("date") <= F.lit(train_end)), cols, family, target_transform)
+    return fit_encoded_fold(vectors, encoder, train_end, family=family, **fit)
 
 
 def forecast_fold(
@@ -64,9 +132,10 @@ def forecast_fold(
     clip_negative: bool = True, keep: Sequence[str] = (), **build,
 ) -> DataFrame:
     """Forecast one fold's horizon: recursively if a feature depends on the target, else directly."""
-    cols = feature_columns(groups)
+    cols = model_columns(groups)
     history = history_for(cols)
     rows = horizon_matrix(panel, fold, groups=groups, extras=extras, history=history, **build)
+    rows = with_origin_statistics(rows, panel, fold.train_end, groups=groups, extras=extras, target_transform=target_transform)
     if not needs_recursion(groups):
         val = rows.where(F.col("date").between(fold.val_start, fold.val_end)).withColumns(
             {"y_true": F.col("sales"), "fold": F.lit(fold.fold)}
@@ -92,25 +161,34 @@ def forecast_fold(
 def score_trees(
     panel: DataFrame, folds: Sequence[Fold], *, groups: Sequence[str],
     extras: Mapping[str, DataFrame] | None = None, matrix: DataFrame | None = None,
-    models_dir: str | None = None, fit: Mapping[str, object] | None = None, **build,
+    models_dir: str | None = None, fit: Mapping[str, object] | None = None, threads: int = 4, **build,
 ) -> tuple[DataFrame, list[PipelineModel], list[dict]]:
     """Fit and forecast each fold; returns the OOF table, the models and the fit notes.
 
-    The training matrix is built once, written to the shared folder and cut by date for every
-    fold (and every trial or seed, when passed in).
+    The matrix is built and encoded once and cut by date for every fold; folds are fitted from a
+    few driver threads.
     """
     fit = dict(fit or {})
-    cols = feature_columns(groups)
+    cols, transform = model_columns(groups), fit.pop("target_transform", "log1p")
     if matrix is None:
-        matrix = saved(training_matrix(panel, groups=groups, extras=extras, **build), "matrix")
-    models, notes, parts = [], [], []
-    for fold in folds:
-        model, info = fit_fold(matrix, fold.train_end, cols, **fit)
-        models.append(model)
-        notes.append({"fold": fold.fold, **info})
-        parts.append(forecast_fold(
-            panel, fold, [model], groups=groups, extras=extras,
-            target_transform=fit.get("target_transform", "log1p"), **build))
+        matrix = model_matrix(panel, groups=groups, extras=extras, target_transform=transform, **build)
+    encoder, vectors = encode_matrix(matrix, cols, fit.get("family", "gbt"), transform)
+
+    def masked_validation(fold: Fold) -> Callable[[], DataFrame]:
+        def rows() -> DataFrame:
+            val = fold_matrix(panel, fold, groups=groups, extras=extras, **build).where("role = 'val' and y_true is not null")
+            val = with_origin_statistics(val, panel, fold.train_end, groups=groups, extras=extras, target_transform=transform)
+            return trees.encoded(val, cols, encoder, transform_target("y_true", transform).alias("label"))
+
+        return rows
+
+    def one(fold: Fold):
+        return fit_encoded_fold(vectors, encoder, fold.train_end, fallback=masked_validation(fold), **fit)
+
+    fitted = list(in_threads(panel.sparkSession, one, folds, threads))
+    models = [m for m, _ in fitted]
+    notes = [{"fold": f.fold, **info} for f, (_, info) in zip(folds, fitted)]
+    parts = [forecast_fold(panel, f, [m], groups=groups, extras=extras, target_transform=transform, **build) for f, m in zip(folds, models)]
     if models_dir:
         trees.save_fold_models(models, models_dir)
     return reduce(DataFrame.unionByName, parts).select(*OOF_COLUMNS), models, notes

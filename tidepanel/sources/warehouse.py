@@ -10,9 +10,10 @@ import datetime as dt
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.functions.ranking import numbered
 from tidepanel.functions.scalars import weekday0
 from tidepanel.operators.clean import densify
 from tidepanel.session import saved_once
@@ -96,16 +97,13 @@ class Warehouse:
     def with_id(self, panel: DataFrame) -> DataFrame:
         """Row id from store, day and family number, each in its own digit: no two rows share one."""
         types = self.table("part").select(F.col("p_type").alias("family")).distinct()
-        # One row per part type, a fixed vocabulary.
-        numbered = types.select(
-            "family", (F.row_number().over(Window.orderBy("family")) - 1).alias("_f"),
-            F.count("*").over(Window.partitionBy()).alias("_families"),
-        )
+        numbers = numbered(types, ["family"], "_f")
+        families = numbers.agg(F.count("*")).scalar()
         first, last = self.bounds
         days = (last - first).days + 1
         of_day = F.col("store_nbr").cast("bigint") * days + F.datediff("date", F.lit(first))
-        row_id = of_day * F.col("_families") + F.col("_f")
-        return panel.join(numbered, "family").select(
+        row_id = of_day * families + F.col("_f")
+        return panel.join(numbers, "family").select(
             row_id.alias("id"), *[c for c in panel.columns]
         )
 
