@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tidepanel.llm import mixing
+from tidepanel.llm.queries import QUERIES
 from tidepanel.llm.mixing import capped_targets, min_cost_flow, mix_sources
 
 
@@ -83,19 +85,32 @@ def seeded(i):
 
 
 @pytest.mark.parametrize("long", [60_000, 40_000])
-def test_a_document_that_does_not_fit_is_passed_over(spark, long):
+def test_a_document_that_does_not_fit_is_passed_over(spark, tmp_path, long):
     # Sources of equal size weigh 5, 2 and 1; the last holds one long document, third in the order, and 180 short ones.
     ids = sorted(range(181), key=seeded)
     size = long + 18_000
     rows = [(i, "w " * (long if i == ids[2] else 100), "c") for i in ids] + [(1000 + k, "w " * (size // 10), s) for s in "ab" for k in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    taken = lambda **more: sum(r.taken for r in mix_sources(docs, **more).collect() if r.source == "c")
-    assert taken() == 18_000 and taken(pass_over=False) == {60_000: 300, 40_000: 40_200}[long]
-
-
-@pytest.mark.parametrize("few", [100_000, 0])
-def test_extra_copies_are_first_fit_in_the_seeded_order(spark, monkeypatch, few):
-    monkeypatch.setattr("tidepanel.llm.mixing.FEW", few)
+    assert sum(r.taken for r in mix_sources(docs).collect() if r.source == "c") == 18_000
+    folder = tmp_path / "data"
+    docs.write.parquet(str(folder / "documents.parquet"))
+    assert sum(r.taken for r in QUERIES["op2_source_mix"](spark, str(folder)).collect() if r.source == "c") == 18_000
+
+
+def test_alternating_sizes_end_in_few_rounds(spark, monkeypatch):
+    # In seeded order the sizes are 1, 60, 1, 59, ...: each document of one word leaves one word less.
+    ids = sorted(range(120), key=seeded)
+    sizes = [v for k in range(60) for v in (1, 60 - k)]
+    rows = [(i, "w " * n, "c") for i, n in zip(ids, sizes)] + [(1000 + k, "w " * 189, s) for s in "ab" for k in range(10)]
+    calls, cuts = [], mixing._cuts
+    monkeypatch.setattr(mixing, "_cuts", lambda *a: calls.append(1) or cuts(*a))
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sum(r.size for r in got if r.source == "c") == 1890
+    rest = int(next(r.target for r in got if r.source == "c") + 0.5)
+    assert abs(sum(r.taken for r in got if r.source == "c") - rest) <= 1 and len(calls) <= 9
+
+
+def test_extra_copies_are_a_prefix_then_classes_of_size(spark):
     rng = random.Random(3)
     rows = [(i, "w " * int(rng.paretovariate(0.6)) if rng.random() < 0.9 else "", "abc"[i % 3]) for i in range(90)]
     rows = [(i, t[:8_000], s) for i, t, s in rows]
@@ -103,10 +118,20 @@ def test_extra_copies_are_first_fit_in_the_seeded_order(spark, monkeypatch, few)
     for source in "abc":
         mine = [got[i] for i in sorted((i for i, _, s in rows if s == source), key=seeded)]
         full, left = divmod(int(mine[0].target + 0.5), mine[0].source_size)
-        want = {}
+        want, fits = dict.fromkeys((r.doc_id for r in mine), False), True
         for r in mine:
-            want[r.doc_id] = 0 < r.size <= left
-            left -= r.size * want[r.doc_id]
+            fits = fits and r.size <= left
+            if r.size and fits:
+                want[r.doc_id] = True
+                left -= r.size
+        for j in range(20, -1, -1):
+            for r in mine:
+                if want[r.doc_id] or r.size.bit_length() - 1 != j:
+                    continue
+                if r.size > left:
+                    break
+                want[r.doc_id] = True
+                left -= r.size
         near = [r for r in mine if r.size and not want[r.doc_id] and abs(left - r.size) < left]
         if near:
             want[min(near, key=lambda r: abs(left - r.size)).doc_id] = True

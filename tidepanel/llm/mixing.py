@@ -4,7 +4,7 @@ Documents are aggregated by membership pattern (the set of sources that hold the
 offers its words once at no cost, a second time at cost 1, a third at cost 2; the flow routes these
 to the sources' quotas. Only patterns and sources reach the driver. The words that a pattern sends
 are then taken from its documents: all of them so many times over, and once more those that come
-first in a seeded order and fit.
+first in a seeded order, and others that fit in what these leave.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ REPEATS = 3
 # Levels of the seeded order that are resolved by sums before single documents are looked at.
 LEVELS = (12, 24, 36)
 KEY_BITS = 60
-# So many documents of a pattern are put in order without levels.
-FEW = 100_000
+# So many documents of a pattern, on average, are put in order one by one.
+FEW = 256
 # Seeded order; the last three only tell apart what the key doesn't.
 ORDER = ("key", "order_id", "size", "_row")
 
@@ -105,7 +105,7 @@ def min_cost_flow(supply: list[int], quota: list[int], members: list[list[int]],
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Callable[[], Column] | None = None,
-    source_col: str = "source", seed: int = 0, weights: tuple[int, ...] = WEIGHTS, carry: Sequence[str] = (), pass_over: bool = True,
+    source_col: str = "source", seed: int = 0, weights: tuple[int, ...] = WEIGHTS, carry: Sequence[str] = (),
 ) -> DataFrame:
     """Words to take from each document: id, size, source, source_size, target, taken.
 
@@ -114,9 +114,9 @@ def mix_sources(
     sums over its sources. Sources in code point order weigh ``weights`` in turn and share the size
     of all documents; targets stop at three times the size of what the source holds. A document is
     taken 0 to 3 times. Of the documents of a pattern, those first in the order of a hash of seed
-    and id are taken once more than the rest, as many as fit: one greater than what is left is passed
-    over (without ``pass_over`` it ends the choice). One more, the nearest in size, closes what is
-    still missing. Rows with equal ids follow each other by size; null ids count as one id.
+    and id are taken once more than the rest, as many as fit; what is left then is filled from the
+    others by classes of size, greatest first. One more, the nearest in size, closes what is still
+    missing. Rows with equal ids follow each other by size; null ids count as one id.
     Empty documents take nothing. No rows in, no rows out. Other columns are not read. There may
     be many documents, but patterns and sources must fit the driver: they do for sources of a mix.
     ``carry`` names small columns to hand through. Tables with one row per pattern come from or fit
@@ -144,7 +144,7 @@ def mix_sources(
         full, rest = divmod(sum(sent), size) if size else (0, 0)
         plan.append((list(pattern), sum(held[at[s]] for s in pattern), float(sum(targets[at[s]] for s in pattern)), full, rest))
     table = spark.createDataFrame(plan, "pattern array<string>, source_size long, target double, full long, rest long")
-    marked = saved(_mark_fitting(rows, table, pass_over), "marked")
+    marked = saved(_mark_fitting(rows, table), "marked")
     # The document nearest to what is still missing closes the gap, if it brings the sum nearer.
     missing = marked.groupBy("pattern").agg((F.max("rest") - F.sum(F.when(F.col("once"), F.col("size")).otherwise(0))).alias("missing"))
     gap = F.abs(F.col("missing") - F.col("size"))
@@ -159,50 +159,75 @@ def mix_sources(
     )
 
 
-def _mark_fitting(rows: DataFrame, table: DataFrame, pass_over: bool) -> DataFrame:
-    """Adds ``rest`` and ``once``: whether a document is taken once more, in its pattern's order, of ``rest`` words.
+def _mark_fitting(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds ``rest`` and ``once``: whether a document is taken once more, of ``rest`` words for its pattern.
 
-    A round takes the longest prefix of the documents that has no more words than are left. The next
-    one does so with those behind it that still fit, until none does; without ``pass_over`` there
-    is one round. A round is known by its first document not taken, its last one not taken before it
-    and the words left, so only one row per pattern and round reaches the driver.
+    First the longest prefix in seeded order that fits. Then, among the documents behind it, one
+    class of sizes after the other from the greatest (class j: 2**j words and up to twice that): of
+    each the longest prefix that fits in what is left. So a document greater than what is left ends
+    neither the choice nor a class below its own, and the number of rounds is at most the logarithm
+    of the words missing after the prefix. A round is known by its class, its first document not
+    taken and where it begins, so only one row per pattern and round reaches the driver.
     """
     spark = rows.sparkSession
     rows = rows.join(F.broadcast(table.select("pattern", "rest")), "pattern")
     order, of_order = F.struct(*ORDER), ", ".join(f"{c}: bigint" for c in ORDER)
-    schema = f"pattern array<string>, left long, after struct<{of_order}>, cut struct<{of_order}>"
+    schema = f"pattern array<string>, left long, class int, after struct<{of_order}>, cut struct<{of_order}>"
+    size_class = F.length(F.bin("size")) - 1
 
-    def taken(after: Column, cut: Column, left: Column) -> Column:
-        return (F.col("size") > 0) & (F.col("size") <= left) & F.coalesce(order > after, F.lit(True)) & F.coalesce(order < cut, F.lit(True))
+    def inside(after: Column, class_: Column) -> Column:
+        return (F.col("size") > 0) & F.coalesce(order >= after, F.lit(True)) & F.coalesce(size_class == class_, F.lit(True))
+
+    def cut_of(state: list[tuple], count: int) -> dict[tuple, object]:
+        frame = spark.createDataFrame([(p, left, j, after, None) for p, left, j, after in state], schema)
+        fit = rows.join(F.broadcast(frame), "pattern").where(inside(F.col("after"), F.col("class")))
+        return {_key(r["pattern"]): r["cut"] for r in _cuts(fit.select("pattern", *ORDER, "left"), _levels(count)).collect()}
 
     rounds: list[tuple] = []
-    open_ = [(r["pattern"], r["rest"], None) for r in table.where("rest > 0").collect()]
-    levels: Sequence[int] = LEVELS
-    while open_:
-        state = spark.createDataFrame([(*o, None) for o in open_], schema)
-        fit = rows.join(F.broadcast(state), "pattern").where(F.col("size") > 0)
-        if rounds:
-            fit = fit.where(taken(F.col("after"), F.lit(None), F.col("left")))
-        cuts = {_key(r["pattern"]): r["cut"] for r in _cuts(fit.select("pattern", *ORDER, "left"), levels).collect()}
-        now = [(*o, cuts.get(_key(o[0]))) for o in open_]
+    counts = {_key(r["pattern"]): r["n"] for r in rows.where("size > 0").groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+    first = [(list(r["pattern"] or ()), r["rest"], None, None) for r in table.where("rest > 0").collect()]
+    cuts = cut_of(first, max(counts.values(), default=0)) if first else {}
+    rounds += [(*o, cuts.get(_key(o[0]))) for o in first]
+    # What the prefix left, and the classes of the documents behind it.
+    ends = [o for o in rounds if o[4] is not None]
+    left: dict[tuple, int] = {}
+    classes: dict[tuple, tuple[int, int]] = {}
+    if ends:
+        done = rows.join(F.broadcast(spark.createDataFrame(ends, schema)), "pattern").where("size > 0")
+        before = order < F.col("cut")
+        for r in done.groupBy("pattern", F.when(~before, size_class).alias("j")).agg(
+                F.max("left").alias("left"), F.sum("size").alias("sum"), F.count("*").alias("n")).collect():
+            key = _key(r["pattern"])
+            left[key] = left.get(key, r["left"]) - (r["sum"] if r["j"] is None else 0)
+            if r["j"] is not None:
+                classes[(key, r["j"])] = (r["sum"], r["n"])
+    after = {_key(o[0]): o[4] for o in ends}
+    for j in range(max((v for v in left.values()), default=0).bit_length() - 1, -1, -1):
+        here = [k for k in after if (k, j) in classes and left[k] >= 1 << j]
+        whole = [k for k in here if classes[(k, j)][0] <= left[k]]
+        rounds += [(list(k), left[k], j, after[k], None) for k in whole]
+        for k in whole:
+            left[k] -= classes[(k, j)][0]
+        part = [(list(k), left[k], j, after[k]) for k in here if k not in whole]
+        if not part:
+            continue
+        cuts = cut_of(part, max(classes[(_key(o[0]), j)][1] for o in part))
+        now = [(*o, cuts[_key(o[0])]) for o in part]
         rounds += now
-        if not pass_over or not cuts:
-            break
-        # What the round took, and whether anything behind it still fits.
-        done = rows.join(F.broadcast(spark.createDataFrame([n for n in now if n[3]], schema)), "pattern")
-        sums = done.groupBy("pattern").agg(F.max("left").alias("left"), F.sum(F.when(taken(F.col("after"), F.col("cut"), F.col("left")), F.col("size")).otherwise(0)).alias("sum"))
-        left = {_key(r["pattern"]): (r["pattern"], r["left"] - r["sum"], cuts[_key(r["pattern"])]) for r in sums.collect()}
-        state = spark.createDataFrame([(*o, None) for o in left.values()], schema)
-        behind = rows.join(F.broadcast(state), "pattern").where(taken(F.col("after"), F.lit(None), F.col("left"))).groupBy("pattern").count().collect()
-        open_ = [left[_key(r["pattern"])] for r in behind]
-        levels = LEVELS if max((r["count"] for r in behind), default=0) > FEW else ()
+        taken = rows.join(F.broadcast(spark.createDataFrame(now, schema)), "pattern").where(inside(F.col("after"), F.col("class")) & (order < F.col("cut")))
+        for r in taken.groupBy("pattern").agg(F.sum("size").alias("sum")).collect():
+            left[_key(r["pattern"])] -= r["sum"]
     by: dict[tuple, list[tuple]] = {}
-    for pattern, *window in rounds:
+    for pattern, _, *window in rounds:
         by.setdefault(_key(pattern), []).append(tuple(window))
-    made = spark.createDataFrame([(list(k), w) for k, w in by.items()], f"pattern array<string>, rounds array<struct<left: bigint, after: struct<{of_order}>, cut: struct<{of_order}>>>")
-    # The first round's prefix ends before its cut whatever its documents' sizes, so the bound by size changes nothing there.
-    once = F.coalesce(F.exists("rounds", lambda r: taken(r["after"], r["cut"], r["left"])), F.lit(False))
-    return rows.join(F.broadcast(made), "pattern", "left").withColumn("once", once).drop("rounds")
+    made = spark.createDataFrame([(list(k), w) for k, w in by.items()], f"pattern array<string>, rounds array<struct<class: int, after: struct<{of_order}>, cut: struct<{of_order}>>>")
+    chosen = F.exists("rounds", lambda r: inside(r["after"], r["class"]) & F.coalesce(order < r["cut"], F.lit(True)))
+    return rows.join(F.broadcast(made), "pattern", "left").withColumn("once", F.coalesce(chosen, F.lit(False))).drop("rounds")
+
+
+def _levels(count: int) -> list[int]:
+    """Bits of the seeded key to resolve, so that about ``FEW`` of ``count`` documents share them."""
+    return [bits for bits in LEVELS if count > FEW << (bits - LEVELS[0])]
 
 
 def _key(pattern: Sequence[str | None]) -> tuple[str | None, ...]:
@@ -213,8 +238,8 @@ def _cuts(inside: DataFrame, levels: Sequence[int]) -> DataFrame:
     """For each pattern the first document, in order, up to which there are more than ``left`` words; no row if there is none.
 
     The seeded key is resolved 12 bits at a time: sums per prefix, at most 4,096 for a pattern, tell
-    in which the prefix ends. After three levels a pattern's documents are down to one in 2 ** 36,
-    and are put in order one by one; few documents are without levels.
+    in which the prefix ends. ``levels`` are as many as leave a few hundred documents of a pattern,
+    which are put in order one by one.
     """
     for bits in levels:
         prefix = F.shiftright("key", KEY_BITS - bits)

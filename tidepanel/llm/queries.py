@@ -78,17 +78,23 @@ l AS (SELECT *, CAST((SELECT sum(size) FROM d) - coalesce(sum(3 * source_size) O
 t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), (SELECT arg_min(level, r) FROM l WHERE level * w <= 3 * source_size) * w) AS target FROM l),
 f AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS words FROM t),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS full_, CASE WHEN source_size > 0 THEN words % source_size ELSE 0 END AS rest FROM f),
-c AS (SELECT d.*, g.source_size, g.target, g.full_, g.rest, size > 0 AND sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) <= rest AS once
+c AS (SELECT d.*, g.source_size, g.target, g.full_, g.rest, size > 0 AND sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) <= rest AS first_,
+             CASE WHEN size > 0 THEN CAST(floor(log2(size)) AS INT) END AS j
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-m AS (SELECT *, rest - sum(CASE WHEN once THEN size ELSE 0 END) OVER (PARTITION BY source) AS missing FROM c),
+h AS (SELECT *, sum(size) OVER (PARTITION BY source, first_, j ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM c),
+z AS (WITH RECURSIVE st AS (
+        SELECT source, 40 AS j, CAST(max(rest) - coalesce(sum(size) FILTER (WHERE first_), 0) AS BIGINT) AS lft FROM c GROUP BY source
+        UNION ALL SELECT source, j - 1, CAST(lft - coalesce((SELECT max(upto) FROM h WHERE NOT h.first_ AND h.j = st.j AND h.source IS NOT DISTINCT FROM st.source AND h.upto <= st.lft), 0) AS BIGINT)
+        FROM st WHERE j >= 0) SELECT * FROM st),
+e AS (SELECT h.*, first_ OR coalesce(upto <= z.lft, false) AS once FROM h LEFT JOIN z ON z.j = h.j AND z.source IS NOT DISTINCT FROM h.source),
+m AS (SELECT *, rest - sum(CASE WHEN once THEN size ELSE 0 END) OVER (PARTITION BY source) AS missing FROM e),
 n AS (SELECT *, row_number() OVER (PARTITION BY source, NOT once AND size > 0 AND abs(missing - size) < missing ORDER BY abs(missing - size), k, doc_id, size) AS near FROM m)
 SELECT doc_id, size, source, source_size, round(target, 6) AS target,
        CAST(size * (full_ + CASE WHEN once OR (near = 1 AND size > 0 AND abs(missing - size) < missing) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM n""")
 def op2(docs: DataFrame) -> DataFrame:
     from tidepanel.llm.mixing import mix_sources
 
-    # The SQL ends the choice at the first document that does not fit.
-    return mix_sources(docs, pass_over=False).withColumn("target", F.round("target", 6))
+    return mix_sources(docs).withColumn("target", F.round("target", 6))
 
 
 @_query("op5_simhash", "documents")
