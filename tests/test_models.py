@@ -208,6 +208,8 @@ def test_prepare_job_from_csv(spark, season, tmp_path):
                                                  "date date, type string, locale string, locale_name string, description string, transferred boolean"),
         "transactions": spark.createDataFrame([(day(0), 0, 5)], "date date, store_nbr int, transactions int"),
     }
+    # Of quotes of one day the last in the file counts, not the greatest.
+    made["oil"] = spark.createDataFrame([(day(0), 50.0), (day(0), 49.0), (day(1), None)], "date date, dcoilwtico double").coalesce(1)
     raw = str(tmp_path / "raw")
     with pytest.raises(FileNotFoundError, match="train"):
         tables.load_raw_tables(spark, raw)
@@ -217,7 +219,7 @@ def test_prepare_job_from_csv(spark, season, tmp_path):
     folds = runs.load_fold_list(spark, str(tmp_path / "splits"))
     assert [f.fold for f in folds] == [0, 1] and folds[1].val_end == day(119)
     only = tables.load_feature_extras(spark, ["calendar", "oil"], str(tmp_path / "interim"))
-    assert list(only) == ["oil"] and column(only["oil"], "dcoilwtico") == [1.0, 1.0]
+    assert list(only) == ["oil"] and column(only["oil"], "dcoilwtico") == [49.0, 49.0]
 
 
 def test_evaluate_job(spark, season, tmp_path):

@@ -19,6 +19,7 @@ from tidepanel.operators.blend import align_oofs, mean_blend, nonneg_weights, we
 from tidepanel.operators.panel import fold_matrix, train_test_panel
 from tidepanel.operators.search import best_trial, sample_trials
 from tidepanel.sources import schemas
+from tidepanel.sources.tables import INPUT_ORDER, with_input_order
 
 KEYS = ["store_nbr", "family", "date"]
 
@@ -502,3 +503,19 @@ def test_spikes_are_clipped_by_group(spark):
     df = spark.createDataFrame([(f, float(v)) for f, vs in ((0, range(101)), (1, range(0, 1010, 10))) for v in vs], "fold int, x double")
     made = stress.clip_spikes(df, ["x"], upper=0.9, by=["fold"])
     assert {r["fold"]: r["m"] for r in made.groupBy("fold").agg(F.max("x").alias("m")).collect()} == {0: 90.0, 1: 900.0}
+
+
+def test_order_of_submitted_ids(spark, tmp_path):
+    ids = list(range(0, 900, 3))
+    sub = spark.createDataFrame([(i, 1.0) for i in ids], "id long, sales double")
+    path = str(tmp_path / "s")
+    sub.repartitionByRange(5, "id").sortWithinPartitions("id").write.option("header", True).csv(path)
+    back = with_input_order(spark.read.schema("id bigint, sales double").option("header", True).csv(path))
+    sample = sub.withColumn("at", F.col("id"))
+    contracts.validate_order(back, sample, INPUT_ORDER, "at")
+    swapped = sample.withColumn("at", F.when(F.col("id") == 3, 6).when(F.col("id") == 6, 3).otherwise(F.col("id")))
+    assert contracts.order_mismatches(back, swapped, INPUT_ORDER, "at").first()[0] == 2
+    with pytest.raises(ValueError, match="2 submission ids"):
+        contracts.validate_order(back, swapped, INPUT_ORDER, "at")
+    missing = sample.where("id <> 897")
+    assert contracts.order_mismatches(back, missing, INPUT_ORDER, "at").first()[0] == 1

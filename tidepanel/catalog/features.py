@@ -18,7 +18,7 @@ from tidepanel.operators.clean import (
     assert_nonnegative, clean_holidays, clean_oil, clean_train, flag_invalid_sales, keep_one,
 )
 from tidepanel.operators.contracts import (
-    align_submission, duplicate_keys, only_in, submission_checks,
+    align_submission, duplicate_keys, only_in, order_mismatches, submission_checks,
 )
 from tidepanel.operators.evaluation import annotate_horizon, annotate_payday, annotate_zero_target
 from tidepanel.operators.masks import (
@@ -29,6 +29,9 @@ from tidepanel.operators.panel import fold_matrix, prune_panel, train_test_panel
 from tidepanel.operators.splits import (
     date_grid, expand_folds, expanding_folds, fold_ranges, folds_frame, holdout_flags, inner_folds, leakage_report,
 )
+from tidepanel.session import saved, scratch_path
+from tidepanel.sources.runs import write_submission
+from tidepanel.sources.tables import INPUT_ORDER, with_input_order
 
 KEY = "store_nbr, family, date"
 KEYS = ["store_nbr", "family", "date"]
@@ -561,11 +564,21 @@ def _(w):
 
 
 @query("p2_submission_order_and_sign", oracle(
-    "SELECT COUNT(*) AS n, CAST(SUM(CASE WHEN sales IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, CAST(SUM(CASE WHEN sales < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_negative FROM tp", tp=TEST_PRED))
-def _(w):
-    aligned = align_submission(w.test().select("id", (F.col("onpromotion") * 2.0).alias("sales")), w.sample_submission())
-    checks = submission_checks(aligned, w.sample_submission())
-    return checks.select(F.col("n_sub").alias("n"), (F.col("n_missing") + F.col("n_nonfinite")).alias("n_missing"), "n_negative")
+    "SELECT COUNT(*) AS n, CAST(SUM(CASE WHEN sales IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, CAST(SUM(CASE WHEN sales < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_negative, "
+    "CAST(0 AS BIGINT) AS n_out_of_order, CAST(COUNT(*) - COUNT(*) % 2 AS BIGINT) AS n_out_of_order_reversed FROM tp", tp=TEST_PRED))
+def _(w):
+    """A submission written in order and read back, and the same ids backwards as the failing case."""
+    sample = saved(w.sample_submission(), "sample")
+    aligned = align_submission(w.test().select("id", (F.col("onpromotion") * 2.0).alias("sales")), sample)
+    path = scratch_path(w.spark, "submission")
+    write_submission(aligned, path, sample)
+    back = with_input_order(w.spark.read.schema("id bigint, sales double").option("header", True).csv(path))
+    checks = submission_checks(back, sample)
+    good = order_mismatches(back, sample.withColumn("at", F.col("id")), INPUT_ORDER, "at")
+    bad = order_mismatches(back, sample.withColumn("at", -F.col("id")), INPUT_ORDER, "at")
+    return checks.select(
+        F.col("n_sub").alias("n"), (F.col("n_missing") + F.col("n_nonfinite")).alias("n_missing"), "n_negative",
+        good.scalar().alias("n_out_of_order"), bad.scalar().alias("n_out_of_order_reversed"))
 
 
 # --- splits ------------------------------------------------------------------

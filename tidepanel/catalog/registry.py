@@ -41,11 +41,13 @@ CTES: dict[str, str] = {
            "(SELECT CAST(o_orderdate AS DATE) AS date, AVG(o_totalprice) AS p FROM orders GROUP BY 1) o ON o.date = c.date",
     "tx": "SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey AS INT) AS store_nbr, CAST(COUNT(*) AS INT) AS transactions "
           f"FROM lineitem WHERE CAST(l_shipdate AS DATE) <= {TRAIN_END} GROUP BY 1, 2",
-    "hol": "SELECT date, CASE month(date) % 5 WHEN 0 THEN 'Holiday' WHEN 1 THEN 'Transfer' WHEN 2 THEN 'Bridge' "
-           "WHEN 3 THEN 'Work Day' ELSE 'Additional' END AS type, CASE day(date) WHEN 1 THEN 'National' WHEN 10 THEN 'Regional' "
-           "ELSE 'Local' END AS locale, CASE day(date) WHEN 1 THEN 'Country' WHEN 10 THEN (SELECT MIN(r_name) FROM region) "
-           "ELSE (SELECT MIN(n_name) FROM nation) END AS locale_name, 'synthetic' AS description, month(date) % 4 = 0 AS transferred "
-           "FROM cal WHERE day(date) IN (1, 10, 20)",
+    "busy": "SELECT CAST(o_orderdate AS DATE) AS date, n_name, r_name, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey "
+            "JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3",
+    "hol": "SELECT date, CASE n % 5 WHEN 0 THEN 'Holiday' WHEN 1 THEN 'Transfer' WHEN 2 THEN 'Bridge' WHEN 3 THEN 'Work Day' ELSE 'Additional' END AS type, "
+           "locale, locale_name, n || ' orders' AS description, n % 4 = 0 AS transferred FROM (SELECT *, row_number() OVER "
+           "(PARTITION BY locale, locale_name, date_trunc('month', date) ORDER BY n DESC, date DESC) AS nth FROM ("
+           "SELECT 'National' AS locale, 'Country' AS locale_name, date, CAST(SUM(n) AS BIGINT) AS n FROM busy GROUP BY date UNION ALL "
+           "SELECT 'Regional', r_name, date, CAST(SUM(n) AS BIGINT) FROM busy GROUP BY r_name, date UNION ALL SELECT 'Local', n_name, date, n FROM busy)) WHERE nth = 1",
     "grid": "SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS r FROM (SELECT DISTINCT date FROM train)",
     "folds": "SELECT CAST(2 - b AS INT) AS fold, (SELECT date FROM grid WHERE r = 15 * b + 15) AS train_end, "
              "(SELECT date FROM grid WHERE r = 15 * b + 14) AS val_start, (SELECT date FROM grid WHERE r = 15 * b) AS val_end "

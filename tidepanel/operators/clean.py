@@ -67,14 +67,23 @@ def clean_holidays(holidays: DataFrame) -> DataFrame:
     return holidays.withColumn("transferred", F.col("transferred").cast("boolean"))
 
 
-def clean_structural(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """All seven tables; row order is left to the sink."""
+def clean_structural(tables: Mapping[str, DataFrame], order_by: str | None = None) -> dict[str, DataFrame]:
+    """All seven tables; row order is left to the sink.
+
+    Of rows with the same key the last in ``order_by`` stays, in tables that have that column; it
+    is dropped afterwards.
+    """
+
+    def order_of(df: DataFrame) -> str | None:
+        return order_by if order_by in df.columns else None
+
     steps = {
-        "train": clean_train,
-        "oil": clean_oil,
+        "train": lambda df: clean_train(df, order_by=order_of(df)),
+        "oil": lambda df: clean_oil(df, order_by=order_of(df)),
         "holidays_events": clean_holidays,
     }
-    return {name: steps[name](df) if name in steps else df for name, df in tables.items()}
+    made = {name: steps[name](df) if name in steps else df for name, df in tables.items()}
+    return {name: df.drop(order_by) if order_by else df for name, df in made.items()}
 
 
 def densify(

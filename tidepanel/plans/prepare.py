@@ -12,7 +12,7 @@ from tidepanel.operators.explore import sales_tails
 from tidepanel.operators.splits import expanding_folds
 from tidepanel.sources.runs import save_folds
 from tidepanel.sources.schemas import validate_test_schema, validate_train_schema
-from tidepanel.sources.tables import load_raw_tables, read_interim, write_interim
+from tidepanel.sources.tables import INPUT_ORDER, load_raw_tables, read_interim, write_interim
 
 # Sort columns of the interim files: rows of an entity lie together, in date order.
 LAYOUT = {
@@ -25,10 +25,10 @@ def prepare(
     spark: SparkSession, raw_dir: str, interim_dir: str, splits_dir: str, cv: Mapping[str, int] | None = None,
 ) -> dict[str, DataFrame]:
     """Load, check, clean and write all tables, then the folds; returns summary tables."""
-    raw = load_raw_tables(spark, raw_dir)
+    raw = load_raw_tables(spark, raw_dir, ordered=("train", "oil"))
     validate_train_schema(raw["train"])
     validate_test_schema(raw["test"])
-    write_interim(clean_structural(raw), interim_dir, LAYOUT)
+    write_interim(clean_structural(raw, INPUT_ORDER), interim_dir, LAYOUT)
     tables = read_interim(spark, interim_dir, raw)
     save_folds(expanding_folds(tables["train"], **(cv or {})), splits_dir)
     counts = None

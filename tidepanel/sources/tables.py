@@ -27,17 +27,32 @@ def missing_is_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
 
 
-def load_raw_tables(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
-    """Every raw table as a lazy, schema-typed CSV scan; a missing file raises by name."""
+INPUT_ORDER = "_input_order"
+
+
+def with_input_order(scan: DataFrame) -> DataFrame:
+    """A file scan with ``_input_order``: file, first byte of the block, then the row's place in the task.
+
+    A task reads its blocks one after the other and each from front to back, so the column orders
+    rows as the files hold them. Apply it to the scan itself.
+    """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"))
+    return scan.select("*", place.alias(INPUT_ORDER))
+
+
+def load_raw_tables(spark: SparkSession, raw_dir: str, ordered: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Every raw table as a lazy, schema-typed CSV scan; a missing file raises by name.
+
+    Tables named in ``ordered`` carry their input order.
+    """
     out = {}
     for name, schema in RAW_SCHEMAS.items():
         path = f"{raw_dir.rstrip('/')}/{name}.csv"
         try:
-            out[name] = missing_is_null(
-                spark.read.schema(schema)
-                .options(header=True, mode="FAILFAST", enforceSchema=False)
-                .csv(path)
-            )
+            scan = spark.read.schema(schema).options(header=True, mode="FAILFAST", enforceSchema=False).csv(path)
+            out[name] = missing_is_null(with_input_order(scan) if name in ordered else scan)
         except AnalysisException as err:
             raise FileNotFoundError(f"raw table {name!r} not found at {path}") from err
     return out

@@ -149,20 +149,30 @@ class Warehouse:
         )
 
     def holidays_events(self) -> DataFrame:
-        d, m = F.dayofmonth("date"), F.month("date")
-        region = self.table("region").agg(F.min("r_name")).scalar()
-        city = self.table("nation").agg(F.min("n_name")).scalar()
+        """Busiest order days: of each month for the country, and per region and nation for their own orders.
+
+        The latest day wins a tie; the number of orders that day gives the kind of event.
+        """
+        day_ = F.col("o_orderdate").cast("date")
+        daily = (
+            self.table("orders")
+            .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .groupBy("c_nationkey", day_.alias("date")).agg(F.count("*").alias("n"))
+            .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        )
+        places = F.array(*[
+            F.struct(F.lit(level).alias("locale"), place.alias("locale_name"))
+            for level, place in (("National", F.lit("Country")), ("Regional", F.col("r_name")), ("Local", F.col("n_name")))
+        ])
+        per_place = daily.select("date", "n", F.explode(places).alias("p")).groupBy("p.locale", "p.locale_name", "date").agg(F.sum("n").alias("n"))
+        top = per_place.groupBy("locale", "locale_name", F.trunc("date", "month").alias("_month")).agg(
+            F.max(F.struct("n", "date")).alias("top"))
         kinds = F.array(*map(F.lit, ["Holiday", "Transfer", "Bridge", "Work Day", "Additional"]))
-        days = self.calendar().where(d.isin(1, 10, 20))
-        return days.select(
-            "date",
-            kinds[m % 5].alias("type"),
-            F.when(d == 1, "National").when(d == 10, "Regional").otherwise("Local").alias("locale"),
-            F.when(d == 1, F.lit("Country")).when(d == 10, region).otherwise(city).alias(
-                "locale_name"
-            ),
-            F.lit("synthetic").alias("description"),
-            (m % 4 == 0).alias("transferred"),
+        n = F.col("top.n")
+        return top.select(
+            F.col("top.date").alias("date"), kinds[(n % 5).cast("int")].alias("type"), "locale", "locale_name",
+            F.concat(n.cast("string"), F.lit(" orders")).alias("description"), (n % 4 == 0).alias("transferred"),
         )
 
     def extras(self) -> dict[str, DataFrame]:
