@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from tidepanel.llm.language import build_model, identify_language, is_held_out, keep_identified
+from tidepanel.llm.language import build_model, identify_language, is_held_out, keep_identified, train
 
 TEXTS = {"aa": "banana bandana cabana", "bb": "the quick brown fox thinks", "cc": "straße über größe"}
 
@@ -87,3 +87,13 @@ def test_texts_with_a_letter_stay_if_there_is_nothing_to_learn_from(spark, odd):
     unlabelled = odd.selectExpr("doc_id", "text", "cast(null as string) lang", "source")
     letters = sorted(r.text for r in odd.collect() if any(c.isalpha() for c in r.text or ""))
     assert sorted(r.text for r in keep_identified(unlabelled).collect()) == letters
+
+
+def test_no_language_is_left_out(spark):
+    """More labels than documents in the sample: each label keeps its own."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    words = {f"l{i:03d}": "".join(letters[(i // 20**k) % 20] + "aeiou"[(i + k) % 5] for k in range(3)) for i in range(230)}
+    rows = [(4 * n + k, f"{w} {w}{w} {w}", lang) for n, (lang, w) in enumerate(words.items()) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs, most_docs=240)
+    assert sorted(model.languages) == sorted(words)

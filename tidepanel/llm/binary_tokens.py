@@ -193,7 +193,9 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return chunks.repartition(F.col("path"), F.col("first_doc")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # Small rows that stand for much reading: dealt by an explicit number, which adaptive execution keeps.
+    tasks = max(1, min(manifest.count(), 32 * manifest.sparkSession.sparkContext.defaultParallelism))
+    return chunks.repartition(tasks, "path", "first_doc").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def binary_round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:

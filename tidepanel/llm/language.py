@@ -121,21 +121,25 @@ def is_held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 400, most: int = 200) -> Model:
-    """Model from a bounded sample of the labelled rows of ``docs``: about ``sample_docs`` of each of the ``most`` commonest languages.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 400, most_docs: int = 80_000) -> Model:
+    """Model from a bounded sample of the labelled rows of ``docs``: about ``sample_docs`` of each language, ``most_docs`` in all.
 
-    Labels are counted over all rows; a language's documents are then chosen by a hash of their id
+    Labels are counted over all rows; where there are very many languages each has fewer documents,
+    but none is left out: one document each at least. A language's documents are then chosen by a hash of their id
     (of their text where the id is null), so that ``sample_docs`` are expected, and used whole. The
     driver sees the counts of their four-byte strings.
     """
     spark = docs.sparkSession
     labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
+    draw = F.pmod(F.xxhash64(F.lit("language sample"), F.coalesce("id", "text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = labelled.withColumn("draw", draw)
+    sizes = {r["lang"]: (r["n"], r["least"]) for r in drawn.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()}
     if not sizes:
         return build_model([])
-    share = spark.createDataFrame([(k, min(1.0, sample_docs / n)) for k, n in sizes.items()], "lang string, share double")
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), F.coalesce("id", "text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = labelled.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text")
+    each = max(1, min(sample_docs, most_docs // len(sizes)))
+    # The document drawn first stays in any case: a small share could miss a language altogether.
+    share = spark.createDataFrame([(k, max(each / n, least)) for k, (n, least) in sizes.items()], "lang string, share double")
+    chosen = drawn.join(F.broadcast(share), "lang").where("draw <= share").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,6 +23,7 @@ from tidepanel.session import saved
 
 END_ID = 0
 BUCKETS = 256
+BUCKET_ROWS = 100_000  # a length with more pieces than its buckets hold gets more buckets
 
 
 @dataclass
@@ -195,7 +196,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, id_col:
     pieces = saved(cut_pieces(docs, tokenizer, length, id_col, text_col), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = best_plan(counts, length)
-    ranked = rank_within(pieces, "length", ["doc_id", "piece", "start"])
+    buckets = max(BUCKETS, -(-max(counts.values(), default=0) // BUCKET_ROWS))
+    ranked = rank_within(pieces, "length", ["doc_id", "piece", "start"], buckets)
     places = np.array(sorted(plan.places), np.int64).reshape(-1, 6)
     keys = places[:, 0] << 44 | places[:, 1]
 
@@ -214,13 +216,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, id_col:
     return ranked.select(*columns).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def rank_within(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+def rank_within(df: DataFrame, key: str, order: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Adds ``rank``, 0 and up within each value of ``key``, without one task per value.
 
-    Rows of a value are dealt to a fixed number of buckets by a hash of ``order``; the buckets'
+    Rows of a value are dealt to ``buckets`` buckets by a hash of ``order``; the buckets'
     counts give each its first rank, and only a bucket is ordered in one place.
     """
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     sizes = dealt.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     first = sizes.select(key, "_bucket", F.coalesce(before, F.lit(0)).alias("_first"))

@@ -13,10 +13,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(name: str, tables: str | tuple[str, ...], sql: str | None = None):
+def _query(name: str, tables: str | tuple[str, ...], sql: str | None = None, native: bool = False):
     def wrap(fn: Callable[..., DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            if not native:
+                ship_package(spark)
             return fn(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ([tables] if isinstance(tables, str) else tables)])
 
         QUERIES[name] = run
@@ -33,7 +34,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 @_query("op10_exact_dedup", "documents", f"""
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
-FROM (SELECT doc_id, {_LOWER} AS t FROM documents)""")
+FROM (SELECT doc_id, {_LOWER} AS t FROM documents)""", native=True)
 def op10(docs: DataFrame) -> DataFrame:
     from tidepanel.llm.exact import exact_duplicates
 
