@@ -18,7 +18,7 @@ from tidepanel.operators import features as X
 from tidepanel.operators.blend import align_oofs, mean_blend, nonneg_weights, weighted_blend
 from tidepanel.operators.panel import fold_matrix, train_test_panel
 from tidepanel.operators.search import best_trial, sample_trials
-from tidepanel.sources import schemas
+from tidepanel.sources import schemas, tables
 from tidepanel.sources.tables import INPUT_ORDER, with_input_order
 
 KEYS = ["store_nbr", "family", "date"]
@@ -519,3 +519,33 @@ def test_order_of_submitted_ids(spark, tmp_path):
         contracts.validate_order(back, swapped, INPUT_ORDER, "at")
     missing = sample.where("id <> 897")
     assert contracts.order_mismatches(back, missing, INPUT_ORDER, "at").first()[0] == 1
+
+
+def test_store_sides_meet_the_panel_in_one_join_spread_by_day(spark, tmp_path):
+    rows = [(st, f, day(d), float(d % 5 + st), 0) for st in (1, 2, 3) for f in "ABC" for d in range(20)]
+    df = spark.createDataFrame(rows, "store_nbr int, family string, date date, sales double, onpromotion int")
+    extras = {
+        "stores": spark.createDataFrame([(s, f"c{s}", f"s{s % 2}", "A", s) for s in (1, 2)], "store_nbr int, city string, state string, type string, cluster int"),
+        "holidays_events": spark.createDataFrame(
+            [(day(3), "Holiday", "Local", "c1", "d", False), (day(4), "Bridge", "Regional", "s0", "d", False), (day(5), "Transfer", "National", "x", "d", True)],
+            "date date, type string, locale string, locale_name string, description string, transferred boolean"),
+        "transactions": spark.createDataFrame([(day(d), s, 10 * d + s) for d in range(20) for s in (1, 3)], "date date, store_nbr int, transactions int"),
+    }
+    groups = ["base", "lag", "holiday", "store_meta", "transactions"]
+    made = X.build_feature_matrix(df, groups=groups, extras=extras)
+    one_by_one = X.add_transaction_features(
+        X.add_store_meta_features(X.add_holiday_features(X.add_lag_features(df), extras["holidays_events"], extras["stores"]), extras["stores"]), extras["transactions"])
+    cols = sorted(one_by_one.columns)
+    assert sorted(made.columns) == cols
+    assert sorted(map(str, made.select(cols).collect())) == sorted(map(str, one_by_one.select(cols).collect()))
+    stored = tables.write_bucketed(df, "sides_bucketed", str(tmp_path / "b"), keys=["store_nbr", "family"], sort=["date"], buckets=4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = X.build_feature_matrix(stored, groups=groups, extras=extras)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The panel with its lags is moved once, by store and day; nothing is hashed on the store alone but store-days.
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning(store_nbr" in line and "date" in line.split("hashpartitioning")[1]]
+    assert 1 <= len(moved) <= 3
+    spark.sql("DROP TABLE sides_bucketed")
