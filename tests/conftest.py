@@ -8,13 +8,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tidepanel.session import local_session  # noqa: E402
+from tidepanel.session import drop_saved, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, shuffle_partitions=4)
     yield session
+    drop_saved(session)
     session.stop()
 
 

@@ -92,3 +92,9 @@ def saved(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_saved(spark: SparkSession) -> None:
+    """Drop this application's catalog tables made by ``saved_once``; their files stay with the scratch folder."""
+    for key in [k for k in _stored if k[0] == spark.sparkContext.applicationId]:
+        spark.sql(f"DROP TABLE IF EXISTS {_stored.pop(key)}")
