@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tidepanel.llm.html_text import extract_text, main_text, text_nodes
@@ -90,3 +92,46 @@ def test_rows(spark):
     want = main_text(PAGE)
     assert got == [("1", len(want), want), ("1", len(want), want), ("2", 0, ""), ("None", 0, "")]
     assert extract_text(df.where("false")).collect() == []
+
+
+PROSE = "<p>" + "A sentence, with some words. " * 6 + "</p>"
+SHORT = "<p>A short article, that is all. It has two sentences, and ends here.</p>"
+
+
+@pytest.mark.parametrize("name", ["form", "menu", "label", "button", "fieldset"])
+def test_elements_around_the_article_are_wrappers(name):
+    got = main_text(f"<body><{name} id='aspnetForm'><div>{PROSE * 3}</div></{name}><form><label>Search</label> <button>Go</button></form></body>")
+    assert got.count("A sentence") == 18 and "Search" not in got and "Go" not in got
+
+
+def test_hidden_is_an_attribute_not_a_word():
+    page = f"<article title='the hidden past'>{PROSE}<p class=\"overflow hidden md:block\">Shown, here it is. And more.</p><p hidden>gone</p><p style='display:none'>gone</p><p data-x='display:none'>Kept, too. As it is.</p></article>"
+    got = main_text(page)
+    assert "Shown" in got and "Kept, too" in got and "gone" not in got
+
+
+def test_a_header_beside_the_body_holds_the_headline():
+    site = "<header><h1>Site</h1><a href=/>Home page of the site</a></header>"
+    story = "<div class='story'><header><h1>Headline</h1></header><div class=body>{}</div></div>"
+    got = main_text(f"<body>{site}{story.format(PROSE * 4)}</body>")
+    assert got.startswith("Headline\n\nA sentence") and "Site" not in got
+    own = main_text(f"<body>{site}<div class='page'><div class=body><h2>Own</h2>{PROSE * 4}</div></div></body>")
+    assert own.startswith("Own") and "Site" not in own
+
+
+def test_many_comments_lose_to_a_short_article():
+    comment = f"<div class='comment'>{PROSE}</div>"
+    assert main_text(f"<body><div class=text>{SHORT}</div><div id=comments>{comment * 20}</div></body>") == SHORT[3:-4]
+    # A name of one element around everything is a wrapper all the same.
+    assert main_text(f"<body><div class='comment-page'>{PROSE * 2}</div></body>").count("A sentence") == 12
+
+
+def test_formulas_stay_in_their_sentence():
+    assert main_text(f"<article>{PROSE}<p>Let <math><mi>x</mi><annotation>tex</annotation></math> be.</p></article>").endswith("\n\nLet x be.")
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x text, here." + "</div>" * 20_000, "<b>" * 20_000 + "x text, here.", "<div>t. " * 20_000, "<p>a, b.<b>" * 20_000])
+def test_deep_pages_take_time_by_length(page):
+    start = time.process_time()
+    assert main_text(page)
+    assert time.process_time() - start < 5

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+DEEPEST = 200  # elements further down have the path of this level
 # Elements by kind, and words in class, id and role that mark other matter.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title xmp noembed noframes".split())
-SKIPPED = frozenset("head nav footer aside form button dialog menu label fieldset".split())
+RAW = frozenset("script style noscript template iframe object svg annotation annotation-xml canvas audio video textarea select title xmp noembed noframes".split())
+SKIPPED = frozenset("head nav footer aside".split())
+# Elements that are other matter unless they wrap the bulk of the page's text.
+WRAPPERS = frozenset("form button dialog menu label fieldset".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -46,28 +50,63 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(>|\Z)|([^<]+|<)""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'])(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 _NUMBER = re.compile(r"\d+")
 
 
 @dataclass
 class Node:
-    """A stretch of text: its path, its block's number, whether it is inside a link and inside an article, and names around it that mark other matter."""
+    """A stretch of text: its path, its block's number, whether it is inside a link, an article and a header outside of one, and names around it that mark other matter."""
 
     path: tuple[str, ...]
     block: int
     text: str
     link: bool
     article: bool = False
+    head: bool = False
+    marks: frozenset[str] = frozenset()
+
+
+@dataclass
+class Open:
+    """An open element and what holds for text inside it."""
+
+    name: str
+    path: tuple[str, ...] = ()
+    link: bool = False
+    skipped: bool = False
+    inside: bool = False  # an article or main element, marked or not
+    article: bool = False
+    head: bool = False
     marks: frozenset[str] = frozenset()
 
 
 def text_nodes(html: str) -> list[Node]:
     """Text outside of skipped elements, in page order; broken and cut-off markup is put up with."""
+    return parse(html)[0]
+
+
+def parse(html: str) -> tuple[list[Node], Counter[str]]:
+    """``text_nodes`` and how many elements bear each mark. Time grows with the length of the page, however deep it nests."""
     nodes: list[Node] = []
-    stack: list[tuple[str, str, bool, bool, frozenset[str]]] = []  # name, path step, skipped, in an article, marks
+    bearers: Counter[str] = Counter()
+    top = Open("")
+    stack: list[Open] = []
+    counts: Counter[str] = Counter()  # open elements by name
+
+    def cut(k: int) -> None:
+        counts.subtract(e.name for e in stack[k:])
+        del stack[k:]
+
+    def text(block: int, said: str, link: bool) -> None:
+        e = stack[-1] if stack else top
+        nodes.append(Node(e.path, block, said, link, e.article, e.head, e.marks))
+
     block, at, end = 0, 0, len(html)
     while at < end:
         m = _TOKEN.match(html, at)
@@ -76,11 +115,10 @@ def text_nodes(html: str) -> list[Node]:
             continue
         at = m.end()
         if m[5] is not None:
-            if not (stack and stack[-1][2]):
-                text = entities.unescape(m[5])
-                if text:
-                    path = tuple(e[1] for e in stack if e[0] in BLOCK)
-                    nodes.append(Node(path, block, text, any(e[0] == "a" for e in stack), *(stack[-1][3:] if stack else ())))
+            if not (stack and stack[-1].skipped):
+                said = entities.unescape(m[5])
+                if said:
+                    text(block, said, bool(stack) and stack[-1].link)
             continue
         name = (m[2] or "").lower()
         if not name or not m[4]:
@@ -88,41 +126,45 @@ def text_nodes(html: str) -> list[Node]:
         if name in BLOCK:
             block += 1
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if counts[name] > 0:
+                cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name))
             continue
         if name == "br":
-            nodes.append(Node(tuple(e[1] for e in stack if e[0] in BLOCK), block, " ", False, *(stack[-1][3:] if stack else ())))
+            text(block, " ", False)
         if name in VOID:
             continue
         if name in RAW:
             close = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)", re.I).search(html, at)
-            if m[3].endswith("/") and name in ("svg", "math", "iframe"):
+            if m[3].endswith("/") and name in ("svg", "iframe"):
                 continue
             at = end if not close else html.find(">", close.end()) + 1 or end
             continue
-        if name in ENDS_P:
-            _close(stack, {"p"}, {"button", "table", "td", "th"})
-        if name in SIBLINGS:
-            _close(stack, SIBLINGS[name], LIMITS[name])
-        inside = {e[0] for e in stack}
-        step, other, marks = _describe(name, m[3], bool(inside & {"article", "main"}))
-        _, _, skipped, article, around = stack[-1] if stack else ("", "", False, False, frozenset())
+        if name in ENDS_P and counts["p"] > 0:
+            _close(stack, cut, {"p"}, {"button", "table", "td", "th"})
+        if name in SIBLINGS and any(counts[n] > 0 for n in SIBLINGS[name]):
+            _close(stack, cut, SIBLINGS[name], LIMITS[name])
+        around = stack[-1] if stack else top
+        step, other, marks = _describe(name, m[3], around.inside)
+        if name in WRAPPERS:
+            marks |= {f"<{name} {len(bearers)}.{len(nodes)}>"}
+        bearers.update(marks)
+        article = around.article
         if name in WHOLE:
             article, marks = article or (name in ("article", "main") and not marks), frozenset()
-        stack.append((name, step, other or skipped, article, around | marks))
-    return nodes
+        path = (*around.path, step) if name in BLOCK and len(around.path) < DEEPEST else around.path
+        stack.append(Open(
+            name, path, around.link or name == "a", other or around.skipped, around.inside or name in ("article", "main"), article,
+            around.head or (name == "header" and not around.inside), around.marks | marks if marks else around.marks))
+        counts[name] += 1
+    return nodes, bearers
 
 
-def _close(stack: list[tuple], names: set[str], limits: set[str]) -> None:
+def _close(stack: list[Open], cut: Callable[[int], None], names: set[str], limits: set[str]) -> None:
     for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] in names:
-            del stack[k:]
-            return
-        if stack[k][0] in limits:
-            return
+        if stack[k].name in names:
+            return cut(k)
+        if stack[k].name in limits:
+            return None
 
 
 def _describe(name: str, attributes: str, in_article: bool) -> tuple[str, bool, frozenset[str]]:
@@ -130,10 +172,11 @@ def _describe(name: str, attributes: str, in_article: bool) -> tuple[str, bool,
 
     Of several names with the same word the shortest stands for all; numbers in them don't count.
     """
-    other = name in SKIPPED or (name == "header" and not in_article)
+    other = name in SKIPPED
     step, marks = name, {}
     if attributes and "=" in attributes:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+        style = found.pop("style", "")
         for said in sorted(" ".join(found.values()).split(), key=len):
             words = {w.lower() for w in _WORD.findall(said)}
             if not words & STATES:
@@ -142,18 +185,20 @@ def _describe(name: str, attributes: str, in_article: bool) -> tuple[str, bool,
             if not in_article and said.lower() in HEADS:
                 marks.setdefault("header", said)
         step = ".".join([name, *found.get("class", "").split()[:3]])
-        if re.search(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none", attributes):
-            other = True
+        other = other or bool(_NOT_SHOWN.search(style))
+    if attributes and _HIDDEN.search(_QUOTED.sub("''", attributes)):
+        other = True
     return step, other, frozenset(marks.values())
 
 
-def without_marked(nodes: list[Node], most: float = 2 / 3, most_readers: float = 0.9) -> list[Node]:
+def without_marked(nodes: list[Node], bearers: Mapping[str, int] = {}, most: float = 2 / 3, most_readers: float = 0.9) -> list[Node]:
     """Nodes without those under a name that marks other matter, unless the article itself is under it.
 
     A name's share is its text outside links over that plus the text under no such name, within the
     page's article elements if they hold text. One with more than ``most`` (``most_readers`` for what
     readers wrote) is a wrapper and marks nothing: its text counts as free. The greatest come
-    first, what readers wrote last.
+    first, what readers wrote last. Where elements with a readers' name repeat and hold half of the
+    text under such names, that is what readers wrote, however long, if there is other text.
     """
     size = [0 if n.link else len(n.text.strip()) for n in nodes]
     scope = [(n.marks, s) for n, s in zip(nodes, size) if n.article and s] or [(n.marks, s) for n, s in zip(nodes, size) if s]
@@ -168,8 +213,12 @@ def without_marked(nodes: list[Node], most: float = 2 / 3, most_readers: float =
             under[m].append(marks)
     held = {m: sum(by[marks] for marks in under[m]) for m in marking}
     free = by.get(frozenset(), 0)
+    held_by_readers = sum(s for marks, s in by.items() if marks & readers)
+    repeated = any(bearers.get(m, 0) > 1 and 2 * held[m] >= held_by_readers for m in readers)
     # What is free only grows, and shares fall with the text held, so one pass does.
     for m in sorted(marking, key=lambda m: (m in readers, -held[m], m)):
+        if m in readers and free and repeated and 2 * held[m] >= held_by_readers:
+            continue
         if held[m] > (most_readers if m in readers else most) * (held[m] + free):
             marking.remove(m)
             free += sum(by[marks] for marks in under[m] if not marks & marking)
@@ -178,7 +227,8 @@ def without_marked(nodes: list[Node], most: float = 2 / 3, most_readers: float =
 
 def main_text(html: str | None, share: float = 0.9, spread: float = 1.0) -> str:
     """Blocks of the article joined by blank lines; empty if the page has no text."""
-    nodes = without_marked(text_nodes(html or ""))
+    nodes = without_marked(*parse(html or ""))
+    heads, nodes = [n for n in nodes if n.head], [n for n in nodes if not n.head]
     shown = [n for n in nodes if not n.text.isspace()]
     if not shown:
         return ""
@@ -200,6 +250,16 @@ def main_text(html: str | None, share: float = 0.9, spread: float = 1.0) -> str:
     menu = (np.bincount(owner, linked) >= 0.99 * total) & (per >= 3)
     article = _widened(_container(paths, mass, share), paths, content & ~menu, total, np.bincount(owner, linked))
     kept = {p for i, p in enumerate(paths) if (content[i] or p[:len(article)] == article) and not menu[i]}
+    # A header outside of article elements is the article's if it holds a heading, sits where the
+    # content does and the article begins without a heading of its own.
+    first = next(n.path for n in shown if n.path in kept)
+    if heads and not any(_name((step,)) in HEADINGS for step in first):
+        above = {n.path[:k] for n in heads for k in range(len(n.path)) if _name(n.path[k:k + 1]) == "header"}
+        ours = {a for a in above if len(a) > 1 and article[:len(a)] == a and any(n.path[:len(a)] == a and _rank([n.path]) < 7 for n in heads)}
+        added = [n for n in heads if any(n.path[:len(a)] == a for a in ours)]
+        if sum(len(n.text) for n in added if n.link) * 2 <= sum(len(n.text) for n in added):
+            kept |= {n.path for n in added}
+            nodes = sorted([*nodes, *added], key=lambda n: n.block)
     blocks: dict[int, list[str]] = {}
     for node in nodes:
         if node.path in kept or (node.text.isspace() and node.block in blocks):
