@@ -12,7 +12,8 @@ import __spark_entry__ as entry_point
 
 DATA = "/root/testdata/sf0.001"
 SPREAD = [
-    "a8_fold_manifest_join", "a16_trial_resume", "b3_calendar_features", "b21_leakage_audit", "c2_holiday_flags",
+    "a8_fold_manifest_join", "a16_trial_resume", "b3_calendar_features", "b16_ordered_statistics", "b21_leakage_audit", "c2_holiday_flags",
+    "c8_fill_from_oof", "c13_seasonal_lookup", "d14_column_profile", "n7_battery_column_model", "p2_submission_order_and_sign", "l16_blend_job",
     "c10_align_oofs", "d4_fold_summary", "d7_segment_table", "d13_sales_tails", "d22_event_windows", "e3_shifted_rolling",
     "g4_id_set_difference", "k1_expanding_folds", "k3_inner_last_block", "l2_seasonal_naive", "l5_fold_matrix",
     "l6_recursive_forecast", "m8_best_trial", "n1_relative_noise", "n3_clip_spikes", "o8_weekday_boxes", "p1_submission_checks",
