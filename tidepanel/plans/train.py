@@ -19,7 +19,7 @@ from tidepanel.operators.naive import naive_oof, to_long
 from tidepanel.operators.panel import fold_matrix, horizon_matrix, training_matrix
 from tidepanel.operators.recursive import forecast_transformer, history_for, origin_state
 from tidepanel.operators.splits import Fold, holdout_flags, holdout_usable
-from tidepanel.operators.target_stats import ordered_statistics, origin_statistics
+from tidepanel.operators.target_stats import ordered_statistics, origin_statistics, stat_name
 from tidepanel.session import saved
 from tidepanel.sources.runs import finished_runs, run_inventory, save_oof, save_run
 from tidepanel.sources.schemas import ENTITY
@@ -87,8 +87,14 @@ def with_origin_statistics(
 
 
 def encode_matrix(matrix: DataFrame, cols: Sequence[str], family: str, target_transform: str | None = "log1p"):
-    """Encoder and encoded rows (keys, date, y_true, label, features), stored once for every fit."""
+    """Encoder and encoded rows (keys, date, y_true, label, features), stored once for every fit.
+
+    Rows of the first day are left out where category statistics are used: nothing lies before them,
+    so their statistics say nothing, and missing lags would be fitted to make up for it.
+    """
     known = matrix.where(F.col("y_true").isNotNull())
+    if any(c.endswith(stat_name("")) for c in cols):
+        known = known.where(F.col("date") > matrix.agg(F.min("date")).scalar())
     encoder = trees.fit_encoder(known, cols, family)
     label = transform_target("y_true", target_transform).alias("label")
     return encoder, saved(trees.encoded(known, cols, encoder, *ENTITY, "date", "y_true", label), "vectors")
