@@ -21,7 +21,8 @@ def stat_name(col: str) -> str:
 
 
 def _smoothed(total: Column, n: Column, prior: Column, weight: float) -> Column:
-    return (F.coalesce(total, F.lit(0.0)) + F.lit(weight) * prior) / (F.coalesce(n, F.lit(0)) + F.lit(weight))
+    # Rounded, so that the order in which sums are made does not reach the fits.
+    return F.round((F.coalesce(total, F.lit(0.0)) + F.lit(weight) * prior) / (F.coalesce(n, F.lit(0)) + F.lit(weight)), 12)
 
 
 def daily_priors(rows: DataFrame, label: Column, date_col: str = "date") -> DataFrame:
