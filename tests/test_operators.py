@@ -16,7 +16,7 @@ from tidepanel.operators import clean, contracts, explore, masks, naive, splits,
 from tidepanel.operators import evaluation as ev
 from tidepanel.operators import features as X
 from tidepanel.operators.blend import align_oofs, mean_blend, nonneg_weights, weighted_blend
-from tidepanel.operators.panel import fold_matrix, train_test_panel
+from tidepanel.operators.panel import fold_matrices, fold_matrix, train_test_panel
 from tidepanel.operators.search import best_trial, sample_trials
 from tidepanel.sources import schemas, tables
 from tidepanel.sources.tables import INPUT_ORDER, with_input_order
@@ -245,6 +245,24 @@ def test_fold_matrix_keeps_labels(spark):
     assert column(val, "transactions_lag_1") == [509, None, None, None, None]
 
 
+def test_fold_matrices_hold_every_row_of_every_fold(spark):
+    df = panel(spark, [100 + i * i % 37 for i in range(70)]).unionByName(panel(spark, [3 * i % 11 for i in range(70)], family="B"))
+    folds = [splits.Fold(k, day(49 + 8 * k), day(50 + 8 * k), day(57 + 8 * k)) for k in range(2)]
+    tx = spark.createDataFrame([(day(i), 1, 500 + i) for i in range(70)], "date date, store_nbr int, transactions int")
+    args = {"groups": ["base", "lag", "rolling", "transactions"], "extras": {"transactions": tx}}
+    made = fold_matrices(df, folds, **args)
+    alone = fold_matrix(df, folds[0], **args).unionByName(fold_matrix(df, folds[1], **args)).select(*made.columns)
+    assert made.count() == 2 * (58 + 66)
+    assert sorted(map(str, made.collect())) == sorted(map(str, alone.collect()))
+
+
+def test_write_back_sends_no_forecast_table_to_every_task(spark):
+    df = panel(spark, [1, 2, 3])
+    preds = df.where(F.col("date") == F.lit(day(2))).select(*KEYS, F.lit(9.0).alias("y_pred"))
+    plan = masks.write_back(df, preds)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "ShuffledHashJoin" in plan
+
+
 def test_categories_unseen(spark):
     train, new = panel(spark, [1], "B").union(panel(spark, [1], "A")), panel(spark, [1], "C").union(panel(spark, [1], "B"))
     assert {r["family"]: r["family_code"] for r in X.encode_levels(new, train, ["family"]).collect()} == {"B": 1, "C": None}

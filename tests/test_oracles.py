@@ -59,3 +59,8 @@ def test_panel_holds_every_fact_and_ids_are_unique(spark, duck):
     total, n, ids = w.with_id(w.panel()).selectExpr("sum(sales)", "count(*)", "count(distinct id)").first()
     assert total == duck.sql("select sum(l_quantity) from lineitem").fetchall()[0][0] and n == ids
     assert "Exchange" not in w.panel()._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["c8_fill_from_oof", "c13_seasonal_lookup", "l5_fold_matrix"])
+def test_rows_are_not_summed_up(spark, name):
+    assert {"store_nbr", "family", "date"} <= set(entry_point.queries()[name](spark, DATA).columns)
