@@ -20,6 +20,7 @@ from tidepanel.operators.panel import fold_matrices, fold_matrix, train_test_pan
 from tidepanel.operators.search import best_trial, sample_trials
 from tidepanel.sources import schemas, tables
 from tidepanel.sources.tables import INPUT_ORDER, with_input_order
+from tidepanel.sources.warehouse import Warehouse
 
 KEYS = ["store_nbr", "family", "date"]
 
@@ -256,6 +257,13 @@ def test_fold_matrices_hold_every_row_of_every_fold(spark):
     assert sorted(map(str, made.collect())) == sorted(map(str, alone.collect()))
 
 
+def test_filled_panel_is_neither_broadcast_nor_moved(spark):
+    w = Warehouse(spark, "/root/testdata/sf0.001")
+    assert "BuildLeft" not in w.with_id(w.panel())._jdf.queryExecution().executedPlan().toString()
+    lagged = X.add_lag_features(w.panel()).join(w.panel().select(*KEYS, "sales").hint("shuffle_hash"), KEYS, "left")
+    assert "hashpartitioning" not in lagged._jdf.queryExecution().executedPlan().toString()
+
+
 def test_write_back_sends_no_forecast_table_to_every_task(spark):
     df = panel(spark, [1, 2, 3])
     preds = df.where(F.col("date") == F.lit(day(2))).select(*KEYS, F.lit(9.0).alias("y_pred"))
