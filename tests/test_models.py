@@ -20,6 +20,7 @@ from tidepanel.operators.splits import Fold
 from tidepanel.plans import evaluate, predict, prepare, train, tune
 from tidepanel.plans.stress import run_stress
 from tidepanel.sources import runs, tables
+from tidepanel.sources.warehouse import Warehouse
 
 FOLD = Fold(0, day(9), day(10), day(12))
 KEYS = ["store_nbr", "family", "date"]
@@ -367,3 +368,31 @@ def test_ordered_statistics_see_earlier_days_only(spark):
     at_end = {r["kind"]: r["kind_stat"] for r in stats.origin_statistics(new, df, ["kind"], F.col("y"), weight=4.0).collect()}
     for kind in ("level 1", None, "unseen"):
         assert at_end[kind] == pytest.approx(expected(kind, day(99), rows))
+
+
+def test_statistics_of_the_key_are_met_in_place(spark):
+    rows = [(None if k == 2 else k, f"f{f}", day(d), float(k + d + f)) for k in range(3) for d in range(8) for f in range(2)]
+    df = spark.createDataFrame(rows, "store_nbr int, family string, date date, y double")
+    made = stats.ordered_statistics(df, ["store_nbr", "family"], F.col("y"), weight=4.0)
+    assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    got = made.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        past = [(s, f, y) for s, f, d, y in rows if d < r["date"]]
+        prior = sum(y for *_, y in past) / len(past) if past else 0.0
+        for i, c in enumerate(("store_nbr", "family")):
+            mine = [p[2] for p in past if p[i] == r[c]]
+            assert r[f"{c}_stat"] == pytest.approx((sum(mine) + 4 * prior) / (len(mine) + 4), abs=1e-12)
+
+
+def test_linear_fits_store_no_vectors(spark, tmp_path):
+    df = spark.createDataFrame([(1, "A", day(i), float(i % 5), float(i % 5)) for i in range(40)],
+                               "store_nbr int, family string, date date, x double, y_true double")
+    _, vectors = train.encode_matrix(df, ["x"], "linear")
+    assert not any("vectors-" in f for f in vectors.inputFiles()) and vectors.count() == 40
+
+
+def test_raw_tables_are_compressed(spark, tmp_path):
+    w = Warehouse(spark, "/root/testdata/sf0.001")
+    tables.write_raw_tables({"oil": w.oil()}, str(tmp_path))
+    assert list((tmp_path / "oil.csv").glob("*.csv.gz")) and not list((tmp_path / "oil.csv").glob("*.csv"))
