@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import column, day, panel
 from tidepanel.operators import recursive as R
-from tidepanel.operators import boosting, trees
+from tidepanel.operators import boosting, growth, trees
 from tidepanel.operators import target_stats as stats
 from tidepanel.operators.evaluation import fold_metrics, group_importance, summarize_folds
 from tidepanel.operators.features import add_lag_features, add_rolling_features, build_feature_matrix, feature_columns, model_columns
@@ -396,3 +396,38 @@ def test_raw_tables_are_compressed(spark, tmp_path):
     w = Warehouse(spark, "/root/testdata/sf0.001")
     tables.write_raw_tables({"oil": w.oil()}, str(tmp_path))
     assert list((tmp_path / "oil.csv").glob("*.csv.gz")) and not list((tmp_path / "oil.csv").glob("*.csv"))
+
+
+def test_models_of_all_folds_and_seeds_grow_in_the_same_passes(spark, season, monkeypatch):
+    """Each model is that of Spark's own fit on its rows, and no fit keeps or stores rows of its own."""
+    cols = model_columns(["base", "calendar"])
+    matrix = train.model_matrix(season, groups=["base", "calendar"])
+    params = {"maxIter": 3, "maxDepth": 3, "stepSize": 0.3, "maxBins": 128, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
+    packed = train.pack_matrix(matrix, cols)
+    monkeypatch.setattr(growth, "saved", None)
+    passes = []
+    counting = growth._counting
+    monkeypatch.setattr(growth, "_counting", lambda *a: passes.append(1) or counting(*a))
+    fits = train.fit_packed(packed, [train.Wanted(f.train_end, params, s) for f in SEASON_FOLDS for s in (1, 2)])
+    assert len(passes) == 9 and len(fits) == 4
+    for (model, info), f in zip(fits[::2], SEASON_FOLDS):
+        rows = packed.rows.where(F.col("date") <= F.lit(f.train_end))
+        vectors = trees.encoded(rows, cols, packed.encoder, F.log1p(F.greatest("y_true", F.lit(0.0))).alias("label"))
+        whole = GBTRegressor(labelCol="label", **params).fit(vectors)
+        mine, theirs = ([r["prediction"] for r in m.transform(vectors).collect()] for m in (model.stages[-1], whole))
+        errors = [sum((p - r["label"]) ** 2 for p, r in zip(ps, vectors.collect())) for ps in (mine, theirs)]
+        assert errors[0] == pytest.approx(errors[1], rel=1e-3) and info["fitted_rounds"] == 3
+
+
+def test_packed_models_draw_rows_and_stop_alike_wherever_the_rows_lie(spark, season):
+    cols = model_columns(["base", "calendar"])
+    matrix = train.model_matrix(season, groups=["base", "calendar"])
+    params = {"maxIter": 6, "maxDepth": 3, "stepSize": 0.5, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.7", "minInstancesPerNode": 5}
+    found = []
+    for n in (1, 5):
+        packed = train.pack_matrix(matrix.repartition(n), cols)
+        model, info = train.fit_packed(packed, [train.Wanted(day(110), params, 9)], patience=2, min_fit=100, min_holdout=30)[0]
+        assert 1 <= info["best_iteration"] <= info["fitted_rounds"] <= info["best_iteration"] + 2 and info["stopped_on"] == "holdout"
+        assert len(info["errors"]) >= info["best_iteration"]
+        found.append((info, model.stages[-1].toDebugString.split("\n")[1:]))
+    assert found[0] == found[1]
