@@ -400,8 +400,8 @@ def test_raw_tables_are_compressed(spark, tmp_path):
 
 def test_models_of_all_folds_and_seeds_grow_in_the_same_passes(spark, season, monkeypatch):
     """Each model is that of Spark's own fit on its rows, and no fit keeps or stores rows of its own."""
-    cols = model_columns(["base", "calendar"])
-    matrix = train.model_matrix(season, groups=["base", "calendar"])
+    cols = model_columns(["calendar", "promo"])
+    matrix = train.model_matrix(season, groups=["calendar", "promo"])
     params = {"maxIter": 3, "maxDepth": 3, "stepSize": 0.3, "maxBins": 128, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
     packed = train.pack_matrix(matrix, cols)
     monkeypatch.setattr(growth, "saved", None)
@@ -415,8 +415,7 @@ def test_models_of_all_folds_and_seeds_grow_in_the_same_passes(spark, season, mo
         vectors = trees.encoded(rows, cols, packed.encoder, F.log1p(F.greatest("y_true", F.lit(0.0))).alias("label"))
         whole = GBTRegressor(labelCol="label", **params).fit(vectors)
         mine, theirs = ([r["prediction"] for r in m.transform(vectors).collect()] for m in (model.stages[-1], whole))
-        errors = [sum((p - r["label"]) ** 2 for p, r in zip(ps, vectors.collect())) for ps in (mine, theirs)]
-        assert errors[0] == pytest.approx(errors[1], rel=1e-3) and info["fitted_rounds"] == 3
+        assert mine == pytest.approx(theirs, abs=1e-6) and len(set(mine)) > 8 and info["fitted_rounds"] == 3
 
 
 def test_packed_models_draw_rows_and_stop_alike_wherever_the_rows_lie(spark, season):
