@@ -430,3 +430,15 @@ def test_packed_models_draw_rows_and_stop_alike_wherever_the_rows_lie(spark, sea
         assert len(info["errors"]) >= info["best_iteration"]
         found.append((info, model.stages[-1].toDebugString.split("\n")[1:]))
     assert found[0] == found[1]
+
+
+def test_full_refit_takes_a_matrix_that_is_made(spark, season, monkeypatch):
+    """The matrix is stored once, and a row's mark takes four bytes."""
+    matrix = train.model_matrix(season, groups=["base", "calendar"])
+    packed = []
+    packing = train.pack_matrix
+    monkeypatch.setattr(train, "pack_matrix", lambda *a: packed.append(packing(*a)) or packed[0])
+    monkeypatch.setattr(predict, "model_matrix", None)
+    model = predict.retrain_full(season, groups=["base", "calendar"], fit={"params": {"n_estimators": 1, "max_depth": 2}}, matrix=matrix)
+    assert model.stages[-1].getNumTrees == 1
+    assert {r[0] for r in packed[0].blocks.selectExpr("length(marks) * 2 = length(labels)").collect()} == {True}
