@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.quantiles import exact_quantiles
@@ -72,17 +72,30 @@ def panel_extent(df: DataFrame, entity_cols: Sequence[str] = ENTITY, date_col: s
     )
 
 
+def _day_set(date_col: str) -> tuple[Column, Column]:
+    """Group key and aggregate that hold the distinct dates of a group as bits, 64 days to a long."""
+    n = F.unix_date(date_col)
+    # Shifts take the lowest six bits of their count, so days before 1970 fall in place as well.
+    return F.floor(n / 64).alias("_span"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(n, F.lit(64)))).alias("_days")
+
+
+def _days_in(bits: Column) -> Column:
+    """Distinct dates of a group; one without a date holds NULL alone."""
+    return F.coalesce(F.bit_count(bits), F.lit(1))
+
+
 def panel_integrity(df: DataFrame, entity_cols: Sequence[str] = ENTITY, date_col: str = "date", target_col: str = "sales") -> DataFrame:
-    """Negatives, duplicate keys, zero rate and moments, over one aggregate per key."""
+    """Negatives, duplicate keys, zero rate and moments, over one aggregate per entity and 64 days."""
     y = F.col(target_col)
-    per_key = df.groupBy(*entity_cols, date_col).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(y < 0).alias("neg"), F.count_if(y == 0).alias("zero"),
+    span, days = _day_set(date_col)
+    per_span = df.groupBy(*entity_cols, span).agg(
+        F.count(F.lit(1)).alias("n"), days, F.count_if(y < 0).alias("neg"), F.count_if(y == 0).alias("zero"),
         F.sum(y).alias("s"), F.sum(y * y).alias("ss"), F.min(y).alias("lo"), F.max(y).alias("hi"),
     )
     n = F.sum("n")
-    return per_key.agg(
+    return per_span.agg(
         n.alias("n_rows"), F.sum("neg").alias("n_negative"),
-        F.sum(F.col("n") - 1).alias("n_duplicate_keys"),
+        F.sum(F.col("n") - _days_in(F.col("_days"))).alias("n_duplicate_keys"),
         (F.sum("zero") / n).alias("zero_rate"), (F.sum("s") / n).alias("mean"),
         F.sqrt((F.sum("ss") - F.sum("s") * F.sum("s") / n) / (n - 1)).alias("std"),
         F.min("lo").alias("min"), F.max("hi").alias("max"),
@@ -189,13 +202,14 @@ def sales_by_store_attribute(df: DataFrame, stores: DataFrame, cols: Sequence[st
 
 
 def transaction_coverage(panel: DataFrame, tx: DataFrame) -> DataFrame:
-    """Share of store-days that have a transactions row."""
-    keys = ["date", "store_nbr"]
-    days = panel.select(*keys).distinct()
-    seen = tx.select(*keys).distinct().withColumn("hit", F.lit(1))
-    return days.join(seen, keys, "left").agg(
-        F.count(F.lit(1)).alias("n_store_days"), F.avg(F.coalesce("hit", F.lit(0))).alias("coverage")
-    )
+    """Share of store-days that have a transactions row; a store's days are bits, 64 to a row."""
+    span, days = _day_set("date")
+    keys = ["store_nbr", "_span"]
+    wanted = panel.groupBy("store_nbr", span).agg(days)
+    seen = tx.groupBy("store_nbr", span).agg(days.alias("_seen"))
+    n = F.sum(_days_in(F.col("_days")))
+    hits = F.sum(F.coalesce(F.bit_count(F.col("_days").bitwiseAND(F.col("_seen"))), F.lit(0)))
+    return wanted.join(seen, keys, "left").agg(F.coalesce(n, F.lit(0)).alias("n_store_days"), (hits / n).alias("coverage"))
 
 
 def histogram_log1p(df: DataFrame, col: str = "sales", bins: int = 60) -> DataFrame:
