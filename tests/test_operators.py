@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -575,3 +576,67 @@ def test_store_sides_meet_the_panel_in_one_join_spread_by_day(spark, tmp_path):
     moved = [line for line in plan.split("\n") if "Exchange hashpartitioning(store_nbr" in line and "date" in line.split("hashpartitioning")[1]]
     assert 1 <= len(moved) <= 3
     spark.sql("DROP TABLE sides_bucketed")
+
+
+def test_days_within_a_range_equal_a_filter_on_all_days(spark):
+    from tidepanel.operators.clean import densify
+
+    rows = [(1, "A", day(3), 2.0), (1, "A", day(9), 5.0), (2, "A", day(0), 1.0), (3, "B", day(30), 4.0), (4, "B", day(6), 0.5), (4, "B", day(7), 7.0)]
+    sparse = spark.createDataFrame(rows, "store_nbr int, family string, date date, sales double")
+    args = dict(entity_cols=["store_nbr", "family"], date_col="date", start=str(day(0)), end=str(day(30)), fill={"sales": 0.0})
+    every = densify(sparse, **args)
+    for low, high in ((5, 8), (0, 3), (20, None), (None, 6), (30, 30), (None, None)):
+        ends = tuple(None if n is None else str(day(n)) for n in (low, high))
+        kept = every.where(F.col("date").between(day(low or 0), day(30 if high is None else high)))
+        got = densify(sparse, **args, within=ends)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, kept.collect()))
+        assert got.select("store_nbr").distinct().count() == 4
+
+
+def test_integrity_and_coverage_hold_no_group_per_day(spark):
+    from tidepanel.operators import explore
+
+    days = [day(0), day(0), day(1), day(63), day(64), day(200), dt.date(1969, 12, 31), dt.date(1960, 1, 1), None, None]
+    df = spark.createDataFrame([(1, "A", d, 1.0) for d in days] + [(None, "A", day(5), 0.0), (2, "A", day(0), -1.0)],
+                               "store_nbr int, family string, date date, sales double")
+    row = explore.panel_integrity(df).first()
+    assert (row["n_rows"], row["n_duplicate_keys"], row["n_negative"]) == (12, 2, 1)
+    tx = df.where("date in (date'2017-01-01', date'1969-12-31') or date is null").select("date", "store_nbr")
+    cover = explore.transaction_coverage(df, tx).first()
+    # Ten store-days in all, one of them without a date, one without a store; three have a record.
+    assert cover["n_store_days"] == 10 and cover["coverage"] == pytest.approx(0.3)
+    for made in (explore.panel_integrity(df), explore.transaction_coverage(df, tx)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "bit_or" in plan and not re.search(r"keys=\[[^\]]*\bdate#", plan)
+
+
+def test_copies_are_dropped_where_they_lie(spark):
+    from tidepanel.operators.clean import keep_one
+
+    rows = spark.createDataFrame([(1, 2.0), (1, None), (1, 5.0), (2, None)], "k int, v double")
+    kept = keep_one(rows, ["k"])
+    assert sorted(map(tuple, kept.collect()), key=str) == [(1, 5.0), (2, None)]
+    assert keep_one(rows, ["k"], keep="first").where("k = 1").first()["v"] is None
+    assert "SortAggregate" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_buckets_follow_the_rows_of_the_filled_panel(spark, monkeypatch):
+    from tidepanel.session import drop_saved
+    from tidepanel.sources import warehouse
+
+    drop_saved(spark)
+    monkeypatch.setattr(warehouse, "ROWS_PER_BUCKET", 10_000)
+    w = warehouse.Warehouse(spark, "/root/testdata/sf0.001")
+    rows, parts = w.panel().count(), w.panel().rdd.getNumPartitions()
+    drop_saved(spark)
+    assert parts >= rows / 10_000 > 4
+
+
+def test_whole_numbers_are_not_rounded_by_decimals(spark):
+    from tidepanel.catalog.registry import tidy
+
+    values = [0.0, -0.0, 7.0, -3.0, 1e300, 0.1234567, -2.0000005, 2.5, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [str(r["v"]) for r in tidy(df).orderBy("i").collect()]
+    want = [str(r["v"]) for r in df.orderBy("i").select((F.round("v", 6) + F.lit(0.0)).alias("v")).collect()]
+    assert got == want and "rint" in tidy(df)._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -23,7 +23,7 @@ from tidepanel.operators.evaluation import (
 )
 from tidepanel.operators.naive import naive_oof, to_long
 from tidepanel.operators.panel import fold_matrix, train_test_panel
-from tidepanel.operators.recursive import forecast_column, linear_model, origin_state
+from tidepanel.operators.recursive import HISTORY, forecast_column, history_for, linear_model, origin_state
 from tidepanel.operators.search import best_trial, sample_trials, score_column_trials
 from tidepanel.operators.splits import collect_folds, expand_folds, inner_folds
 from tidepanel.plans.evaluate import evaluate
@@ -387,8 +387,9 @@ REC_CTES = {"state0": STATE, "rec": REC}
 
 
 def linear_oof(w):
-    panel = X.add_calendar_features(w.train(), event_date=EVENT)
-    state = origin_state(panel, folds_of(w), ["onpromotion", "dayofweek"])
+    folds = folds_of(w)
+    panel = X.add_calendar_features(w.near(folds, HISTORY), event_date=EVENT)
+    state = origin_state(panel, folds, ["onpromotion", "dayofweek"])
     return forecast_column(state, linear_model(WEIGHTS, 0.05), list(WEIGHTS)).select(*KEYS, "fold", "y_true", "y_pred")
 
 
@@ -410,10 +411,11 @@ def _(w):
     "rmsle", feats="SELECT store_nbr, family, date, LAG(sales, 7) OVER (PARTITION BY store_nbr, family ORDER BY date) AS sales_lag_7, "
     "AVG(sales) OVER (PARTITION BY store_nbr, family ORDER BY date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING) AS sales_roll_mean_28 FROM train"))
 def _(w):
-    made = X.add_rolling_features(X.add_lag_features(w.train(), lags=(7,)), windows=(28,), stats=("mean",))
+    folds = folds_of(w)
+    made = X.add_rolling_features(X.add_lag_features(w.near(folds, 28), lags=(7,)), windows=(28,), stats=("mean",))
     model = linear_model({"sales_lag_7": 0.3, "sales_roll_mean_28": 0.7})
     pred = model({c: F.col(c) for c in ("sales_lag_7", "sales_roll_mean_28")})
-    val = expand_folds(made, folds_of(w), lookback_days=0).where("role = 'val'")
+    val = expand_folds(made, folds, lookback_days=0).where("role = 'val'")
     return val.groupBy("fold").agg(F.lit("teacher_forced").alias("mode"), rmsle(F.col("sales"), pred).alias("rmsle"))
 
 
@@ -531,8 +533,10 @@ VAL_FEATURES = (f"SELECT fold, store_nbr, family, date, y_true, {', '.join(NOISE
 
 
 def _val(w):
-    """Validation rows of all folds."""
-    made = [fold_matrix(w.train(), f, groups=["lag", "rolling"]) for f in folds_of(w)]
+    """Validation rows of all folds; their features look back over the longest lag or window, no further."""
+    groups = ["lag", "rolling"]
+    history = history_for(X.feature_columns(groups)) + 1
+    made = [fold_matrix(w.near([f], history), f, groups=groups) for f in folds_of(w)]
     return reduce(DataFrame.unionByName, made).where("role = 'val'").select("fold", *KEYS, "y_true", *NOISE_COLS)
 
 
@@ -683,9 +687,9 @@ TEST_REC = ("SELECT store_nbr, family, 0 AS step, NULL::DATE AS date, NULL::BIGI
 
 
 def _test_forecast(w):
-    train, test = w.with_id(w.train()), w.test()
-    panel = X.add_calendar_features(train_test_panel(train, test), event_date=EVENT)
-    state = origin_state(panel, [test_fold(train, test)], ["onpromotion", "dayofweek"], keep=["id"])
+    fold = test_fold(w.train_days(), w.test_days())
+    panel = X.add_calendar_features(train_test_panel(w.near([fold], HISTORY, with_id=True), w.test()), event_date=EVENT)
+    state = origin_state(panel, [fold], ["onpromotion", "dayofweek"], keep=["id"])
     return forecast_column(state, linear_model(WEIGHTS, 0.05), list(WEIGHTS))
 
 
