@@ -640,3 +640,16 @@ def test_whole_numbers_are_not_rounded_by_decimals(spark):
     got = [str(r["v"]) for r in tidy(df).orderBy("i").collect()]
     want = [str(r["v"]) for r in df.orderBy("i").select((F.round("v", 6) + F.lit(0.0)).alias("v")).collect()]
     assert got == want and "rint" in tidy(df)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_interim_rows_that_lie_by_store_are_not_moved(spark, tmp_path):
+    from tidepanel.sources.tables import write_interim
+
+    df = spark.createDataFrame([(s, "A", day(d)) for d in range(5) for s in range(20)], "store_nbr int, family string, date date")
+    write_interim({"train": df.repartition(4, "store_nbr")}, str(tmp_path), {"train": ("store_nbr", "family", "date")}, placed=["train"])
+    back = spark.read.parquet(f"{tmp_path}/train.parquet").withColumn("_file", F.input_file_name())
+    files = back.groupBy("store_nbr").agg(F.count_distinct("_file").alias("n"), F.count("*").alias("rows"))
+    assert {(r["n"], r["rows"]) for r in files.collect()} == {(1, 5)} and back.select("_file").distinct().count() > 1
+    one = back.select("_file").first()["_file"]
+    keys = [tuple(r) for r in spark.read.parquet(one).select("store_nbr", "date").collect()]
+    assert keys == sorted(keys)

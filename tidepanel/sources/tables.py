@@ -76,17 +76,19 @@ def write_interim(
     tables: Mapping[str, DataFrame],
     interim_dir: str,
     layout: Mapping[str, Sequence[str]] | None = None,
+    placed: Sequence[str] = (),
 ) -> None:
     """Parquet sink, one folder per table.
 
     ``layout`` names sort columns per table: rows are clustered by the first and sorted
-    inside each file, so row-group statistics prune entity and date predicates.
+    inside each file, so row-group statistics prune entity and date predicates.  Tables in
+    ``placed`` lie together by the first column already; they are sorted where they lie.
     """
     layout = layout or {}
     for name, df in tables.items():
         keys = [c for c in layout.get(name, ()) if c in df.columns]
         if keys:
-            df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+            df = (df if name in placed else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
         df.write.mode("overwrite").parquet(f"{interim_dir.rstrip('/')}/{name}.parquet")
 
 
