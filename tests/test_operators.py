@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import column, day, panel
+from tidepanel.catalog.registry import tidy
 from tidepanel.functions import scalars as S
 from tidepanel.functions.metrics import rmsle
 from tidepanel.functions.quantiles import exact_quantiles
@@ -153,11 +154,36 @@ def test_lags_and_rolling_look_back_only(spark):
         X.add_rolling_features(df, shift=0)
 
 
+def test_rolling_statistics_come_from_blocks_and_lose_no_digits(spark):
+    rng = random.Random(3)
+    values = [None if rng.random() < 0.2 else 1e9 + rng.randrange(5) if i < 40 else rng.random() for i in range(90)]
+    df = panel(spark, values)
+    for windows, shift, least in (((7, 14, 28), 1, 1), ((28,), 2, 5), ((5, 11), 1, 2), ((1, 6), 3, 1)):
+        made = X.add_rolling_features(df, windows=windows, shift=shift, min_periods=least).orderBy("date").collect()
+        for i, row in enumerate(made):
+            for w in windows:
+                seen = [v for v in values[max(0, i - shift - w + 1):max(0, i - shift + 1)] if v is not None]
+                mean, std = row[f"sales_roll_mean_{w}"], row[f"sales_roll_std_{w}"]
+                assert mean == (pytest.approx(np.mean(seen), rel=1e-12) if len(seen) >= least else None)
+                assert std == (pytest.approx(np.std(seen, ddof=1), rel=1e-6, abs=1e-9) if len(seen) >= max(2, least) else None)
+    plan = X.add_rolling_features(df)._jdf.queryExecution().executedPlan().toString()
+    frames = {(int(a), int(b)) for a, b in re.findall(r"RowFrame, (-?\d+), (-?\d+)", plan)}
+    assert frames and all(a == b for a, b in frames) and max(-a for a, _ in frames) <= 28
+
+
 def test_lags_are_row_positional_on_gaps(spark):
     df = panel(spark, [1, 2, 3, 4]).where("day(date) <> 3")
     assert column(X.add_lag_features(df, lags=(1,)), "sales_lag_1") == [None, 1, 2]
 
 
+def test_doubles_are_rounded_half_away_from_zero(spark):
+    values = [0.0078125, -0.0078125, 1.0000005, 2.5, -0.0, 1e300, float("nan"), None, 123456789.1234567, -1e-9, 3e9 + 0.25]
+    made = tidy(spark.createDataFrame([(v,) for v in values], "v double"))
+    got = [r["v"] for r in made.collect()]
+    assert got[:6] == [0.007813, -0.007813, 1.000001, 2.5, 0.0, 1e300] and math.isnan(got[6]) and got[7] is None
+    assert got[8:] == [123456789.123457, 0.0, 3e9 + 0.25] and all(math.copysign(1, got[i]) == 1 for i in (4, 9))
+
+
 def test_results_survive_shuffled_input(tiny_panel):
     shuffled = tiny_panel.orderBy(F.rand(5)).repartition(9)
     for fn in (lambda d: X.add_rolling_features(X.add_lag_features(d)), lambda d: explore.entity_summary(d)):
