@@ -61,6 +61,18 @@ def test_panel_holds_every_fact_and_ids_are_unique(spark, duck):
     assert "Exchange" not in w.panel()._jdf.queryExecution().executedPlan().toString()
 
 
+def test_panel_rows_are_grouped_where_they_are_written(spark):
+    from tidepanel.sources.warehouse import Warehouse
+
+    plan = Warehouse(spark, DATA).panel_sparse(5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(store_nbr" in plan
+
+
+def test_upsert_fills_the_panel_once(spark):
+    plan = entry_point.queries()["a13_keyed_upsert"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "LeftAnti" in plan
+
+
 @pytest.mark.parametrize("name", ["c8_fill_from_oof", "c13_seasonal_lookup", "l5_fold_matrix"])
 def test_rows_are_not_summed_up(spark, name):
     assert {"store_nbr", "family", "date"} <= set(entry_point.queries()[name](spark, DATA).columns)
