@@ -118,6 +118,22 @@ def test_trees_beat_seasonal_naive_and_reproduce(spark, season, tmp_path):
     assert rows["lag_history_spike_clip"]["clean_fold_mean_rmsle"] == pytest.approx(score["mean_rmsle"], rel=1e-9)
 
 
+@pytest.mark.parametrize("params", [{}, {"regParam": 0.1}, {"regParam": 0.05, "elasticNetParam": 0.5}])
+def test_linear_fits_of_all_folds_come_from_one_pass(spark, season, monkeypatch, params):
+    cols, ends = model_columns(GROUPS), [f.train_end for f in SEASON_FOLDS]
+    matrix = train.model_matrix(season, groups=GROUPS)
+    encoder, vectors = train.encode_matrix(matrix, cols, "linear")
+    whole = [train.fit_encoded_fold(vectors, encoder, e, family="linear", params=params)[0] for e in ends]
+    for a, (b, info) in zip(whole, train.fit_linear_folds(matrix, cols, ends, params)):
+        mine, theirs = (trees.predict(train.fitted_rows(matrix, cols), m, cols).orderBy(*KEYS).collect() for m in (b, a))
+        assert [r["y_pred"] for r in mine] == pytest.approx([r["y_pred"] for r in theirs], rel=5e-3) and info["stopped_on"] is None
+    monkeypatch.setattr(train, "fit_encoded_fold", None)  # no fold is fitted on the rows themselves
+    oof, models, notes = train.score_trees(season, SEASON_FOLDS, groups=GROUPS, matrix=matrix, fit={"family": "linear", "params": params})
+    assert oof.count() == 30 and len(models) == len(notes) == 2
+    with pytest.raises(ValueError):
+        train.fit_linear_folds(matrix, cols, [day(-5)], params)
+
+
 def test_params_and_patience():
     p = trees.spark_params({"eta": 0.1, "num_leaves": 64, "n_estimators": 10, "reg_lambda": 3.0})
     assert p["stepSize"] == 0.1 and p["maxDepth"] == 6 and p["maxIter"] == 10 and "reg_lambda" not in p
