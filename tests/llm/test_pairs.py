@@ -102,3 +102,12 @@ def test_embedding_links(spark):
         assert (by[i].n_links, by[i].component_id, by[i].kept) == (0, i, True)
     assert by[None].n_links == 0 and by[None].kept
     assert embedding_links(df.where("false")).collect() == []
+
+
+def test_variants_of_fingerprints_are_not_broadcast(spark, tmp_path):
+    """64 variants come of each stored fingerprint: a file below the broadcast limit may be far above it by then."""
+    rows = [((x * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63,) for x in range(2000)]
+    spark.createDataFrame([*rows, (rows[0][0] ^ 5,)], "fp long").write.parquet(str(tmp_path / "fps"))
+    pairs = linked_pairs(spark.read.parquet(str(tmp_path / "fps")))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert [set(p) for p in pairs.collect()] == [{rows[0][0], rows[0][0] ^ 5}]

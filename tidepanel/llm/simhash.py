@@ -91,7 +91,8 @@ def linked_pairs(fps: DataFrame, bits: int = 4) -> DataFrame:
         earlier = earlier & (F.bit_count(part(s)) > 1)
     left = a.select("a", F.col("s").alias("a_s"), F.col("bit").alias("a_bit"), F.col("key").alias("a_key"))
     match = (F.col("a_s") == F.col("s")) & (F.col("a_bit") == F.col("bit")) & (F.col("a_key") == F.col("key")) & (F.col("a") < F.col("b"))
-    return left.join(b, match & (F.bit_count(diff) <= bits) & chosen).select("a", "b")
+    # Spark takes the index for as small as the fingerprints it is made of and would send it whole to every task.
+    return left.join(b.hint("merge"), match & (F.bit_count(diff) <= bits) & chosen).select("a", "b")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, shingle: int = 4, carry: Sequence[str] = ()) -> DataFrame:
