@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -458,3 +459,19 @@ def test_full_refit_takes_a_matrix_that_is_made(spark, season, monkeypatch):
     model = predict.retrain_full(season, groups=["base", "calendar"], fit={"params": {"n_estimators": 1, "max_depth": 2}}, matrix=matrix)
     assert model.stages[-1].getNumTrees == 1
     assert {r[0] for r in packed[0].blocks.selectExpr("length(marks) * 2 = length(labels)").collect()} == {True}
+
+
+def test_blocks_are_read_a_few_at_a_time(spark):
+    """A reader takes in a row group at once, and a worker a batch: neither may hold all blocks of a task."""
+    slots = [f"s{i}" for i in range(40)]
+    rows = spark.range(0, 400_000, 1, 1).select(
+        F.lit(7).alias("_day"), F.lit(1.0).alias("label"), F.col("id").alias("_mark"), *[F.rand(i).alias(s) for i, s in enumerate(slots)])
+    cuts = [np.linspace(0.1, 0.9, 9)] * len(slots)
+    blocks = growth.pack(rows, slots, cuts)
+    sizes = []
+    for file in blocks.inputFiles():
+        meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+        sizes += [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+    assert sum(sizes) > 20e6 and max(sizes) < 12e6
+    growth.grow(blocks, cuts, [growth.Job(7, {"maxIter": 1, "stepSize": 0.1, "maxDepth": 1}, 1, tuple(range(40)))])
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == growth.BATCH
