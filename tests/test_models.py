@@ -11,6 +11,8 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import functions as F
 
 from tests.conftest import column, day, panel
+from tidepanel.catalog import models
+from tidepanel.catalog.registry import ORACLES, QUERIES
 from tidepanel.operators import recursive as R
 from tidepanel.operators import boosting, growth, trees
 from tidepanel.operators import target_stats as stats
@@ -475,3 +477,18 @@ def test_blocks_are_read_a_few_at_a_time(spark):
     assert sum(sizes) > 20e6 and max(sizes) < 12e6
     growth.grow(blocks, cuts, [growth.Job(7, {"maxIter": 1, "stepSize": 0.1, "maxDepth": 1}, 1, tuple(range(40)))])
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == growth.BATCH
+
+
+def test_tree_search_query_fits_every_trial_whole(spark, monkeypatch):
+    """No trial is dropped after a few rounds, no size of the trees is fixed, and the holdout says how many there are."""
+    asked = {}
+
+    def search(panel, folds, path, **kw):
+        asked.update(kw, folds=len(folds))
+        raise KeyError("asked")
+
+    monkeypatch.setattr(models, "run_search", search)
+    with pytest.raises(KeyError):
+        QUERIES["m5_nested_tree_search"](spark, "/root/testdata/sf0.001")
+    assert not asked.get("rungs") and not asked.get("fixed") and asked["patience"] and asked["folds"] == 3
+    assert set(asked["space"]) == set(tune.SPACES["leaves"]) and f"{asked['n_trials']} AS finalists" in ORACLES["m5_nested_tree_search"]
