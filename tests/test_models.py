@@ -492,3 +492,32 @@ def test_tree_search_query_fits_every_trial_whole(spark, monkeypatch):
         QUERIES["m5_nested_tree_search"](spark, "/root/testdata/sf0.001")
     assert not asked.get("rungs") and not asked.get("fixed") and asked["patience"] and asked["folds"] == 3
     assert set(asked["space"]) == set(tune.SPACES["leaves"]) and f"{asked['n_trials']} AS finalists" in ORACLES["m5_nested_tree_search"]
+
+
+def test_prepare_moves_the_training_table_once(spark, season, tmp_path, monkeypatch):
+    """Rows are dealt by ranges of the key and grouped there; of rows of a key the last in the file stays."""
+    rows = season.withColumn("id", F.monotonically_increasing_id())
+    twice = rows.unionByName(rows.withColumn("sales", F.col("sales") / 2)).coalesce(1)
+    made = {
+        "train": twice, "test": rows.limit(3), "sample_submission": rows.limit(3),
+        "stores": spark.createDataFrame([(0, "c", "s", "A", 1)], "store_nbr int, city string, state string, type string, cluster int"),
+        "oil": spark.createDataFrame([(day(0), 1.0)], "date date, dcoilwtico double"),
+        "holidays_events": spark.createDataFrame([(day(0), "Holiday", "Local", "c", "d", False)],
+                                                 "date date, type string, locale string, locale_name string, description string, transferred boolean"),
+        "transactions": spark.createDataFrame([(day(0), 0, 5)], "date date, store_nbr int, transactions int"),
+    }
+    tables.write_raw_tables(made, str(tmp_path / "raw"))
+    plans = []
+
+    def write(cleaned, folder, layout, placed=()):
+        keys = layout["train"]
+        moved = cleaned["train"] if "train" in placed else cleaned["train"].repartitionByRange(*keys)
+        plans.append(moved.sortWithinPartitions(*keys)._jdf.queryExecution().executedPlan().toString())
+        tables.write_interim(cleaned, folder, layout, placed)
+
+    monkeypatch.setattr(prepare, "write_interim", write)
+    prepare.prepare(spark, str(tmp_path / "raw"), str(tmp_path / "interim"), str(tmp_path / "splits"), {"min_train_days": 30, "n_folds": 2})
+    assert plans[0].count("Exchange") == 1 and "rangepartitioning" in plans[0]
+    kept = spark.read.parquet(str(tmp_path / "interim" / "train.parquet"))
+    assert kept.count() == rows.count()
+    assert kept.agg(F.sum("sales")).first()[0] == pytest.approx(rows.agg(F.sum("sales")).first()[0] / 2)
